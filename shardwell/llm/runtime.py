@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ ORACLES: dict[str, str] = {}
 #: Rows in an Arrow batch. Texts have no bound of their own, so batches are also re-cut by bytes in `textkit.pieces`.
 BATCH_ROWS = 256
 _FALLBACK_DIR = "/tmp/checkpoints"
+_shipped: dict[str, bool] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -29,8 +34,17 @@ def query(name: str, oracle: str | None = None):
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small, as rows hold whole documents."""
+    """Keep Arrow batches small, as rows hold whole documents, and send this package to the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        path = os.path.join(tempfile.mkdtemp(), f"{top.name}-{app}.zip")  # Spark's file server hands it out
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        spark.sparkContext.addPyFile(path)
+        _shipped[app] = True
     return spark
 
 
