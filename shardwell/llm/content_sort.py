@@ -41,9 +41,13 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     crowded = keyed.groupBy("h").count().filter(F.col("count") > F.lit(max(total // (SHARE * n), 1000)))
     hot = [r["h"] for r in crowded.select("h").collect()]  # at most SHARE * n of them, by the threshold
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
-    dealt = keyed.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(4 * n))).otherwise(F.lit(0))).withColumn("head", F.substring("norm", 1, 16))
-    placed = dealt.repartitionByRange(n, "head", "h", "salt")
-    same = W.partitionBy("head", "h", "salt", "norm")
+    dealt = keyed.withColumn("head", F.substring("norm", 1, 16))
+    keys = ["head", "h"]
+    if hot:  # a salt that is the same everywhere would be folded away, and the window would not see its order in the range partitions
+        dealt = dealt.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(4 * n))).otherwise(F.lit(0)))
+        keys.append("salt")
+    placed = dealt.repartitionByRange(n, *keys)
+    same = W.partitionBy(*keys, "norm")
     order = same.orderBy(F.col("id").asc_nulls_last())
     runs = placed.select(
         "id", "h", *(["row"] if carry else []), F.sha2("norm", 256).alias("text_sha256"),
