@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .perfect_hash import Shard
-from .runtime import documents, query, text_of, width
+from .runtime import documents, query, text_of, width, written
 
 SHARD_KEYS = 200_000
 PACKET_LINES = 200_000
@@ -138,6 +138,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     seen = keyed.select("id", F.explode(F.array_distinct("lines")).alias("line")).filter("line IS NOT NULL").select("id", "line.a", "line.b")
     common = seen.groupBy("a", "b").agg(F.count_distinct("id").alias("count"), F.max("id").alias("keeper")).filter(F.col("count") >= least_docs)
+    common = written(common, "common-lines")
     shards = max(n, common.count() // SHARD_KEYS + 1)
     packets = keyed.mapInArrow(_packets(shards), "shard int, a binary, b binary, id binary, mark binary, place binary")
     drops = packets.join(build_shards(common, shards), "shard").mapInArrow(_probe, _PROBED)

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from . import content_sort, language_id, line_dedup, simhash  # noqa: F401
+from . import content_sort, language_id, line_dedup, packing, simhash, token_files  # noqa: F401
 from .runtime import ORACLES, QUERIES
 
 
