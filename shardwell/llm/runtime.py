@@ -16,7 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Rows in an Arrow batch. Texts have no bound of their own, so batches are also re-cut by bytes in `textkit.pieces`.
-BATCH_ROWS = 256
+BATCH_ROWS = 1024
 _FALLBACK_DIR = "/tmp/checkpoints"
 _shipped: dict[str, bool] = {}
 
