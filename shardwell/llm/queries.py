@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from . import content_sort, jaccard_join, language_id, line_dedup, packing, secret_scan, sentence_pieces, simhash, token_files  # noqa: F401
+from . import content_sort, jaccard_join, language_id, line_dedup, packing, secret_scan, sentence_pieces, simhash, substring_dedup, token_files  # noqa: F401
 from .runtime import ORACLES, QUERIES
 
 
