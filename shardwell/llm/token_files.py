@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .range_coder import decode, encode
-from .runtime import documents, prepare, query, shared_dir, text_of, width
+from .runtime import documents, prepare, query, shared_dir, text_of, width, written
 from .textkit import pieces
 from .tokens import WordEncoder, default_tokenizer
 
@@ -160,7 +160,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     for row in files.groupBy("part").agg(F.sum("n_ids").alias("ids")).orderBy("part").collect():  # one row for each part
         starts[row["part"]] = total
         total += row["ids"]
-    found = files.select("part", "block", "before", "data").mapInArrow(_reader, _PIECE)
+    found = written(files.select("part", "block", "before", "data").mapInArrow(_reader, _PIECE), "read-ids")
     begin = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.create_map(F.lit(-1), F.lit(0))
     cut = F.col("goes_on") | F.col("last")  # may be part of a longer document
     single = found.filter(~cut).select("doc_id", "at", F.col("ids_here").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "part")

@@ -1,8 +1,9 @@
 """Token ids of whole texts with the tokenizers library, by distinct words.
 
 The tokenizers handled here drop white space and never join characters across it, so a text's ids are
-its words' ids in a row. Each distinct word is encoded once by the library and remembered, up to
-`REMEMBERED` words of a worker; then the memory starts afresh.
+its words' ids in a row. Each distinct word is encoded once by the library and remembered, under its
+64-bit hash, up to `REMEMBERED` words of a worker; then the memory starts afresh. Words are found,
+hashed and looked up as whole arrays.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textkit import flat
+from .textkit import U64, flat, span_hash
 
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: A control character with an id of its own.
 MARK, BETWEEN = b"\x01", b" \x01 "
 _loaded: dict[str, WordEncoder] = {}
@@ -38,22 +39,54 @@ def drops_white_space(path: str) -> bool:
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SOLID, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE, _SOLID, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SOLID[[*range(48, 58), *range(97, 123)]] = True
 _STOP[list(b".,!?;:%$*&#|()+=\"")] = True
 
 
-def spread(column: pa.Array) -> list[bytes]:
-    """Texts with A-Z lower-cased and a blank between an ASCII letter or digit and a stop, so that fewer distinct words are left. Where "<|" could begin a special token, a text stays as it is."""
-    data, at = flat(column)
-    low = _FOLD[data]
-    gaps = np.flatnonzero(_SOLID[low[:-1]] & _STOP[low[1:]]) + 1
-    wide = np.insert(low, gaps, 32).tobytes()
-    to = (at + np.searchsorted(gaps, at, "right")).tolist()
-    out = [wide[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
-    for i in [i for i, t in enumerate(out) if b"<|" in t]:
-        out[i] = data[at[i] : at[i + 1]].tobytes()
-    return out
+class HashTable:
+    """Numbers by 64-bit key, with open addressing, for arrays of keys at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.count = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 where there is none. Key 0 stands for 1."""
+        mask = (1 << self.bits) - 1
+        keys = np.maximum(keys, U64(1))
+        at = (keys & U64(mask)).astype(np.int64)
+        have = self.keys[at]
+        out = np.where(have == keys, self.values[at], -1)
+        open_ = np.flatnonzero((have != keys) & (have != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & mask
+            have = self.keys[at[open_]]
+            hit = have == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (have != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        while 2 * (self.count + len(keys)) > 1 << self.bits:
+            full = np.flatnonzero(self.keys)
+            old, numbers = self.keys[full], self.values[full]
+            self.__init__(self.bits + 1)
+            self._put(old, numbers)
+        self._put(np.maximum(keys, U64(1)), values)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        self.count += len(keys)
+        at = (keys & U64(mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]  # of several for one place, one stays
+            set_ = self.keys[at] == keys
+            self.values[at[set_]] = values[set_]
+            keys, values, at = keys[~set_], values[~set_], (at[~set_] + 1) & mask
 
 
 class WordEncoder:
@@ -63,7 +96,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, int] = {}
         alone = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else -1
         self.by_word = drops_white_space(path) and self.mark >= 0
@@ -81,22 +113,9 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        """Keep the words used again since the last time, at most half of REMEMBERED."""
-        kept: list[bytes] = []
-        if self.known:
-            often = self.uses >= max(3, int(np.partition(self.uses, -REMEMBERED // 2)[-REMEMBERED // 2]))
-            kept = [w for w, i in self.known.items() if often[i]]
-            old = np.array([self.known[w] for w in kept], np.int64)
-            size = self.length[old]
-            at = np.cumsum(size) - size
-            self.ids = self.ids[np.arange(size.sum()) + np.repeat(self.at[old] - at, size)]
-            self.used = len(self.ids)
-            self.ids = np.concatenate([self.ids, np.zeros(1 << 20, np.uint32)])
-        else:
-            self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-            at = size = np.zeros(0, np.int64)
-        self.known = dict(zip(kept, range(len(kept)), strict=True))
-        self.at, self.length, self.uses = (np.concatenate([x, np.zeros(REMEMBERED, np.int64)]) for x in (at, size, np.zeros(len(kept), np.int64)))
+        self.known = HashTable()
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words and how many each has. A mark that stands between words tells them apart, so the library sees few long texts; words that hold the mark go alone."""
@@ -110,49 +129,71 @@ class WordEncoder:
             raise AssertionError("the mark between words does not tell them apart")
         return got[got != self.mark], sizes
 
-    def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if MARK in w]
-        words = [w for w in words if MARK not in w]
-        for part in [words[i : i + 2048] for i in range(0, len(words), 2048)] + [odd[i : i + 2048] for i in range(0, len(odd), 2048)]:
-            ids, sizes = self._ids(part)
-            k, total = len(self.known), len(ids)
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        odd = [i for i, w in enumerate(words) if MARK in w]
+        marked = set(odd)
+        rest = [i for i in range(len(words)) if i not in marked] if odd else list(range(len(words)))
+        for part in [x[i : i + 2048] for x in (rest, odd) for i in range(0, len(x), 2048)]:
+            ids, sizes = self._ids([words[i] for i in part])
+            k, total = self.known.count, len(ids)
             while k + len(part) > len(self.at):
-                self.at, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length, self.uses))
+                self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + total] = ids
             self.at[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.length[k : k + len(part)] = sizes
             self.used += total
-            self.known.update(zip(part, range(k, k + len(part)), strict=True))
+            self.known.add(hashes[part], np.arange(k, k + len(part), dtype=np.int32))
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (each closed by `end`), and how many each text has. Null counts as empty."""
-        if not self.by_word:
-            texts = pc.fill_null(column, "").to_pylist()
-            lists = [x.ids + ([] if end is None else [end]) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([y for x in lists for y in x], np.uint32), np.array([len(x) for x in lists], np.int64)
-        texts = spread(column) if self.folds else pc.fill_null(column, "").cast(pa.binary()).to_pylist()
-        words: list[bytes] = []
-        count = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = t.split()
-            count[i] = len(own)
-            words += own
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        known = self.known
-        codes = [known.get(w, -1) for w in words]
-        if -1 in codes:
-            self._learn(list(dict.fromkeys(w for w, c in zip(words, codes, strict=True) if c < 0)))
-            codes = [known[w] for w in words]
-        codes = np.array(codes, np.int64)
-        self.uses += np.bincount(codes, minlength=len(self.uses))
-        size, first = self.length[codes], np.cumsum(count)
-        run = np.concatenate([[0], np.cumsum(size)])
-        per_text = run[first] - run[first - count]
-        flat = self.ids[np.arange(run[-1]) + np.repeat(self.at[codes] - run[:-1], size)]
+        texts = pc.fill_null(column, "")
+        special = np.asarray(pc.match_substring(texts, "<|"))
+        if not self.by_word or special.any():
+            return self._apart(texts, special if self.by_word else np.ones(len(texts), bool), end)
+        flat_ids, per_text = self._by_word(texts)
         if end is None:
-            return flat, per_text
-        stops = np.cumsum(per_text)
-        return np.insert(flat, stops, end), per_text + 1
+            return flat_ids, per_text
+        return np.insert(flat_ids, np.cumsum(per_text), end), per_text + 1
+
+    def _apart(self, texts: pa.Array, whole: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Texts marked `whole` go to the library as they are: a special token may stand in them."""
+        ids, per = self._by_word(texts.filter(pa.array(~whole)))
+        edge = np.cumsum(per)
+        lists = iter(np.split(ids, edge[:-1]) if len(per) else [])
+        others = iter(self.tokenizer.encode_batch(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False))
+        close = np.array([] if end is None else [end], np.uint32)
+        out = [np.concatenate([np.array(next(others).ids, np.uint32) if w else next(lists), close]) for w in whole.tolist()]
+        return np.concatenate([np.zeros(0, np.uint32), *out]).astype(np.uint32), np.array([len(x) for x in out], np.int64)
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, at = flat(texts)
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        low = _FOLD[data] if self.folds else data
+        inside = ~_SPACE[low]
+        new = np.zeros(n + 1, bool)  # a word cannot go on to here from the byte before
+        new[at] = True
+        if self.folds:
+            new[1:n] |= _SOLID[low[:-1]] & _STOP[low[1:]]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | new[1:n]
+        ends[:-1] &= ~inside[1:] | new[1:n]
+        start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        first = np.searchsorted(start, at)
+        hashes = span_hash(low, start, stop)
+        if self.known.count > REMEMBERED:
+            self.forget()
+        codes = self.known.get(hashes)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            fresh, where = np.unique(np.maximum(hashes[missing], U64(1)), return_index=True)
+            raw, a, b = low.tobytes(), start[missing[where]].tolist(), stop[missing[where]].tolist()
+            self._learn(fresh, [raw[i:j] for i, j in zip(a, b, strict=True)])
+            codes[missing] = self.known.get(hashes[missing])
+        size = self.length[codes].astype(np.int64)
+        run = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        out = self.ids[np.arange(run[-1]) + np.repeat(self.at[codes] - run[:-1], size)]
+        return out, np.diff(run[first])
