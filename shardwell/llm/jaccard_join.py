@@ -138,7 +138,7 @@ _MET = "tok long, cid long, n int, pos int, hub long, hub_n int, hub_pos int"
 
 
 def _meet(batches):
-    """Rows come sorted by tok, cid. Those of shingles with two sets or more stay, each with the first of its shingle as hub."""
+    """Rows come sorted by tok, pos, cid: the first of a shingle has the fewest rarer shingles of its own, so it is the nearest to what the others share. Those of shingles with two sets or more stay, each with the first of its shingle as hub."""
     names = ("tok", "cid", "n", "pos")
     last = None  # the open shingle's first row, and whether it was given out
     given = False
@@ -249,7 +249,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         counts[row["part"]] = np.frombuffer(bytes(row["counts"]), np.int64)  # SKETCH_PARTS rows, 2**SKETCH_BITS numbers in all
     order = spark.sparkContext.broadcast(Order(counts.ravel()))
     posted = base.mapInArrow(_post(order, k, percent), "tok long, cid long, n int, pos int")
-    met = written(posted.repartition(width(spark), "tok").sortWithinPartitions("tok", "cid").mapInArrow(_meet, _MET), "meetings")
+    met = written(posted.repartition(width(spark), "tok").sortWithinPartitions("tok", "pos", "cid").mapInArrow(_meet, _MET), "meetings")
     star = met.filter("cid <> hub").filter(_ok(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"), percent))
     star = written(star.select(F.col("hub").alias("a"), F.col("cid").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b")).distinct(), "hub-pairs")
     links = verified(star, base, order, k, percent)
