@@ -25,6 +25,8 @@ from .runtime import documents, query, width
 #: Runs of white space that are not already a single blank.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 SHARE = 4
+#: Groups of fewer rows than this are never crowded.
+LEAST_CROWD = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -38,7 +40,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *([F.struct(*carry).alias("row")] if carry else [])
     ).withColumn("h", F.xxhash64("norm"))
     total = docs.count()
-    crowded = keyed.groupBy("h").count().filter(F.col("count") > F.lit(max(total // (SHARE * n), 1000)))
+    crowded = keyed.groupBy("h").count().filter(F.col("count") > F.lit(max(total // (SHARE * n), LEAST_CROWD)))
     hot = [r["h"] for r in crowded.select("h").collect()]  # at most SHARE * n of them, by the threshold
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
     dealt = keyed.withColumn("head", F.substring("norm", 1, 16))
