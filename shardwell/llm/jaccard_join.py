@@ -268,8 +268,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     if not cross.isEmpty():
         labels = components(links.select("a", "b").union(verified(cross, base, order, k, percent).select("a", "b")))
-    placed = sets.join(labels, F.col("k1") == F.col("v"), "left").select("doc_id", "n", F.coalesce("label", "k1").alias("label"))
-    lowest = placed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("lowest"))
+    placed = written(sets.join(labels, F.col("k1") == F.col("v"), "left").select("doc_id", "n", F.coalesce("label", "k1").alias("label")), "placed")
+    # written, so that the join's sides are plain exchanges and a label with very many rows can be split over tasks
+    lowest = written(placed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("lowest")), "lowest")
     out = placed.filter("n > 0").join(lowest, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("lowest").alias("component_id"))
     return out.unionByName(placed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
