@@ -54,7 +54,7 @@ def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]
     return ids, table[:n], table[n:], bool(goes_on)
 
 
-def _writer(path: str, end_id: int):
+def _writer(path: str, end_id: int, block_ids: int):
     def go(batches):
         encoder, part = WordEncoder.load(path), TaskContext.get().partitionId()
         held, docs, sizes, count, block, before, goes_on = [], [], [], 0, 0, 0, False
@@ -69,29 +69,29 @@ def _writer(path: str, end_id: int):
                 docs += batch.column("doc_id").fill_null(_NO_ID).to_pylist()
                 sizes += per.tolist()
                 count += len(ids)
-                while count >= BLOCK_IDS:
+                while count >= block_ids:
                     flat = np.concatenate(held)
                     edges = np.cumsum(sizes)
-                    k = int(np.searchsorted(edges, BLOCK_IDS))  # the document that fills the block
-                    inside = BLOCK_IDS - (int(edges[k - 1]) if k else 0)
-                    yield full(flat[:BLOCK_IDS], docs[: k + 1], [*sizes[:k], inside], goes_on)
-                    block, before = block + 1, before + BLOCK_IDS
+                    k = int(np.searchsorted(edges, block_ids))  # the document that fills the block
+                    inside = block_ids - (int(edges[k - 1]) if k else 0)
+                    yield full(flat[:block_ids], docs[: k + 1], [*sizes[:k], inside], goes_on)
+                    block, before = block + 1, before + block_ids
                     rest = sizes[k] - inside
                     docs, sizes = (docs[k:], [rest, *sizes[k + 1 :]]) if rest else (docs[k + 1 :], sizes[k + 1 :])
                     goes_on = rest > 0
-                    held, count = [flat[BLOCK_IDS:]], count - BLOCK_IDS
+                    held, count = [flat[block_ids:]], count - block_ids
         if docs:
             yield full(np.concatenate(held), docs, sizes, goes_on)
 
     return go
 
 
-def write_ids(docs: DataFrame, to: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, to: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all texts to the folder `to`: one range shuffle by id, then one pass."""
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc()]
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     placed = base.repartitionByRange(width(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
-    placed.mapInArrow(_writer(tokenizer or default_tokenizer(), end_id), FILE_SCHEMA).write.option("compression", "none").parquet(to)
+    placed.mapInArrow(_writer(tokenizer or default_tokenizer(), end_id, block_ids), FILE_SCHEMA).write.option("compression", "none").parquet(to)
 
 
 _PIECE = "part int, block int, nth int, doc_id long, at long, ids_here long, crc long, goes_on boolean, last boolean"
