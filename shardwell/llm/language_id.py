@@ -53,9 +53,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams, the row of each, and whether each row has letters."""
     lower, letter = _tables()
-    code = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer("".join([t + "\0" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts])
-    row = np.repeat(np.arange(len(texts)), sizes + 1)[: len(code)]
+    row = np.repeat(np.arange(len(texts)), sizes + 1)
     real = letter[code]
     has = np.bincount(row[real], minlength=len(texts)) > 0
     low = np.where(real, lower[code], 32)
