@@ -258,8 +258,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = met.select("tok", "cid", "n", "pos").join(labels, F.col("cid") == F.col("v"), "left").select("tok", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
     mixed = own.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("tok")
     own = written(own.join(mixed, "tok", "left_semi"), "mixed-meetings")
-    groups = own.groupBy("tok", F.col("label").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    sides = own.join(groups, "tok").filter((F.col("label") < F.col("other")) & (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
+    groups = own.groupBy("tok", F.col("label").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
+    near = F.least(F.col("n") - F.col("pos"), F.col("reach")) * (100 + percent) >= (F.col("n") + F.col("low")) * percent  # as _ok has it, for the best of the other component's sets
+    sides = own.join(groups, "tok").filter((F.col("label") < F.col("other")) & near & (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
     right = own.select("tok", F.col("label").alias("other"), F.col("cid").alias("cid_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     cross = sides.join(right, ["tok", "other"]).filter(_ok(F.col("n"), F.col("n_b"), F.col("pos"), F.col("pos_b"), percent))
     low, high = F.col("cid") < F.col("cid_b"), F.col("cid") > F.col("cid_b")
