@@ -31,7 +31,7 @@ from .runtime import documents, query, text_of, width, written
 from .textkit import U64, Words, mix, pieces, runs
 
 SHINGLE, PERCENT = 5, 80
-SKETCH_BITS, SKETCH_PARTS = 20, 16
+SKETCH_BITS, SKETCH_PARTS = 22, 16
 FRAGMENTS = 8
 BLOOM_BITS = 23
 _CLASS_SHIFT = U64(57)
