@@ -155,3 +155,29 @@ def test_repeated_passages_are_found_and_only_these(spark, odd, none):
     found = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(odd).collect()}
     assert any({42, 43} == set(p) for p in found)  # the two very long texts
     assert substring_dedup.repeated_passages(none).collect() == []
+
+
+def hidden_by_hubs(rng):
+    """Two texts share 70 words; the first 35 stand in 30 other texts and the last 35 in 30 more."""
+    fresh = lambda n: [f"{a}{rng.randint(0, 10**6)}" for a in rng.choices("abcdef", k=n)]
+    half, other = fresh(35), fresh(35)
+    rows = [half + other, half + other, *[half] * 30, *[other] * 30]
+    return [(i, " ".join(fresh(40) + w + fresh(40))) for i, w in enumerate(rows)]
+
+
+def test_a_passage_whose_parts_are_common_elsewhere_is_found(spark):
+    df = spark.createDataFrame(hidden_by_hubs(random.Random(33)), "doc_id long, text string")
+    for parts in (1, 5):
+        got = [r for r in substring_dedup.repeated_passages(df.repartition(parts)).collect()]
+        assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((0, 1))}
+        assert got[0].matched_words >= 70 and got[0].end_word - got[0].start_word == got[0].matched_words
+
+
+def test_a_passage_is_followed_beyond_the_words_first_fetched(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "REACH", 5)
+    rng = random.Random(34)
+    fresh = lambda n: [f"{a}{rng.randint(0, 10**6)}" for a in rng.choices("abcdef", k=n)]
+    first = fresh(300)
+    second = [w if 100 <= n < 130 or n % 6 != 5 else "changed" for n, w in enumerate(first)]
+    df = spark.createDataFrame([(0, " ".join(first)), (1, " ".join(second))], "doc_id long, text string")
+    assert [(r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df).collect()] == [(0, 299)]
