@@ -181,3 +181,26 @@ def test_a_passage_is_followed_beyond_the_words_first_fetched(spark, monkeypatch
     second = [w if 100 <= n < 130 or n % 6 != 5 else "changed" for n, w in enumerate(first)]
     df = spark.createDataFrame([(0, " ".join(first)), (1, " ".join(second))], "doc_id long, text string")
     assert [(r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df).collect()] == [(0, 299)]
+
+
+def test_edited_lone_passages_are_found():
+    rng = random.Random(4)
+    fresh = lambda n: [f"{a}{rng.randint(0, 10**6)}" for a in rng.choices("abcdef", k=n)]
+    for size, every, share in ((60, 10, 0), (60, 8, 0), (80, 8, 0), (60, 0, 0.05), (60, 0, 0.1), (80, 0, 0.2), (100, 0, 0.2)):
+        found = tried = 0
+        while tried < 40:
+            one = fresh(size)
+            two = ["changed" if (n % every == every - 1 if every else rng.random() < share) else w for n, w in enumerate(one)]
+            same = sum(a == b for a, b in zip(one, two, strict=True))
+            if same < 50 or same < 0.8 * size:
+                continue
+            tried += 1
+            words = substring_dedup.Words(pa.array([" ".join(fresh(30) + w + fresh(30)) for w in (one, two)]))
+            h, row, pos = substring_dedup.seeds(words)
+            key, _, x, y = substring_dedup.links(h, row, pos, substring_dedup.long_runs(words, words.first[row] + pos, row, 50))
+            if len(key) < 2:
+                continue
+            x, y = substring_dedup.thinned(x, y)
+            ends = [substring_dedup.align(words.hash[words.first[1] :], words.hash[: words.first[1]], [x[i] for i in c], [y[i] for i in c]) for c in substring_dedup.chains(x, y) if len(c) > 1]
+            found += any(n >= 50 and n >= 0.8 * max(e - s, u - t) for s, e, t, u, n in ends)
+        assert found >= 0.97 * tried, (size, every, share, found)
