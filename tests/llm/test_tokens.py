@@ -190,3 +190,16 @@ def test_segment_handles_all_texts(odd, none):
     assert all(r.n_best_scores == sorted(r.n_best_scores, reverse=True) and r.n_best == len(r.n_best_scores) and abs(r.n_best_scores[0] - r.best_score) < 1e-3 for r in got)
     assert sentence_pieces.segment(none).collect() == []
     assert p.nbest("", 3) == [(0.0, [])]
+
+
+def test_segment_gives_the_encoding_of_the_models_own_kind(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    rng = random.Random(12)
+    texts = ["the international organization", "", "  two  blanks ", "é😀\n中\tx", *("".join(rng.choices(ODD, k=30)) for _ in range(100)), prose(rng, 400)]
+    got = sentence_pieces.segment(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = sp.encode(texts[r.doc_id])
+        assert r.ids == want and r.n_pieces == len(want) and r.ids_crc32 == crc(want) and r.round_trip
