@@ -8,8 +8,8 @@ keys in the ways they are written, against hashes of files, commits, ids, paths,
 and numbers), and any table of (text, start, end, label) can take its place.
 
 Defined results: null or empty text has no findings; starts and lengths are in code points; repeated
-rows give their findings each; a null doc_id is kept; overlapping candidates give one finding (the
-assigned value first, then the known prefix, then the longer run); an empty table gives an empty
+rows give their findings each; a null doc_id is kept; overlapping candidates give one finding (a PEM
+private key first, to its END line, then the assigned value, then the known prefix, then the longer run); an empty table gives an empty
 result; other columns are not read by `scan` and carried untouched by `redact`, whose n_chars follows
 the new text where there is such a column.
 """
@@ -21,6 +21,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable
 
@@ -42,8 +43,14 @@ NEAR = 200
 
 # Names under which secrets are assigned, and issuers' prefixes.
 _NAMES = r"token|secret|passw(?:or)?d|passphrase|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|auth|credential|bearer"
-_NAMED = re.compile(rf"(?i)([a-z_\-]*(?:{_NAMES})[a-z_\-]*)[\"'\]]?\s{{0,3}}:?$")
-_ASSIGNED = re.compile(r"[=:]>?\s{0,3}[\"'`]?(?P<value>[^\s\"'`<>]{6,})")
+_NAMED = re.compile(rf"(?i)(?:{_NAMES})[a-z0-9_\-]*[\"'\]]?\s{{0,3}}:?$")
+_SEPARATOR = re.compile(r"[=:]>?\s{0,3}")
+_QUOTED = re.compile(r"[\"'`](?P<value>[^\s\"'`<>]{6,})")
+# & ; , } ) end a bare value where the token ends or another assignment follows; elsewhere they are part of it
+_BARE = re.compile(r"(?:(?i:bearer|basic)\s{1,3})?(?P<value>(?:[^\s\"'`<>&;,})]|[&;,})](?![&;,})]{0,8}(?:[\s\"'`<>]|$|[{(]?[\w.\-]{1,64}\s{0,3}[=:]))){6,})")
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BODY = re.compile(r"(?:(?:\s|\\[nrt])+[A-Za-z0-9+/=]{16,})*")
 _ISSUED = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})|-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/=_.-]*[0-9])(?=[0-9+/=_.-]*[A-Za-z])[A-Za-z0-9+/=_.-]{20,}")
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -67,16 +74,37 @@ _DICTIONARY = frozenset(
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all candidates, in order, not overlapping."""
-    found = []
-    for m in _ASSIGNED.finditer(text):
-        before = text[max(0, m.start() - 64) : m.start()]
-        if _NAMED.search(before):
-            found.append((m.start("value"), m.end("value"), "assigned", 0))
+    found = [(a, b, "issued", -1) for a, b in private_keys(text)]
+    assigned: list[tuple[int, int, str, int]] = []
+    reach = 0  # where the last bare value ends; all that begin in it end there
+    for m in _SEPARATOR.finditer(text):
+        low = max(0, m.start() - 64)
+        named = _NAMED.search(text[low : m.start()])
+        if not named:
+            continue
+        if m.end() < reach:
+            start, end = m.end(), reach
+        elif value := _QUOTED.match(text, m.end()):
+            start, end = value.span("value")
+        elif value := _BARE.match(text, m.end()):
+            start, end = value.span("value")
+            reach = end
+        else:
+            continue
+        if end - start < 6:
+            continue
+        if assigned and assigned[-1][1] > start:  # an assignment within a value ends it
+            s, e, *_ = assigned.pop()
+            e = min(e, low + named.start())
+            if e - s >= 6:
+                assigned.append((s, e, "assigned", 0))
+        assigned.append((start, end, "assigned", 0))
+    found += assigned
     found += [(m.start(), m.end(), "issued", 1) for m in _ISSUED.finditer(text)]
     found += [(m.start(), m.end(), "run", 2) for m in _RUN.finditer(text)]
     out: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
-    for rank in (0, 1, 2):
+    for rank in (-1, 0, 1, 2):
         new, k = [], 0
         for s, e, kind, r in sorted(x for x in found if x[3] == rank):
             while k < len(taken) and taken[k][1] <= s:
@@ -89,6 +117,18 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of PEM private keys, to the end of their END lines; without one, of the BEGIN line and the base64 that follows."""
+    begins = list(_PEM.finditer(text))
+    ends = [m.end() for m in _PEM_END.finditer(text)] if begins else []
+    out = []
+    for n, m in enumerate(begins):
+        limit = begins[n + 1].start() if n + 1 < len(begins) else len(text)
+        k = bisect_right(ends, m.end())
+        out.append((m.start(), ends[k] if k < len(ends) and ends[k] <= limit else _PEM_BODY.match(text, m.end()).end()))
+    return out
+
+
 def _coverage(value: str, words: set[str]) -> float:
     """Share of the value's characters under words of the dictionary or of the text around it."""
     low, n = value.lower(), len(value)
@@ -117,7 +157,9 @@ def features(text: str, start: int, end: int) -> list[float]:
     beside = {w.lower() for w in re.findall(r"[A-Za-z0-9]+", before[-40:])[-4:]}
     split = {p for w in re.findall(r"[A-Za-z0-9_\-]+", before[-40:])[-3:] for p in re.split(r"[_\-]|(?<=[a-z])(?=[A-Z])", w)}
     beside |= {p.lower() for p in split}
+    beside |= {p.rstrip(string.digits) for p in beside}  # token2
     nearest = (re.findall(r"[A-Za-z0-9]+", before) or [""])[-1].lower()
+    nearest = nearest.rstrip(string.digits) or nearest
     return [
         min(n, 2000), math.log(n), turns / m, entropy, entropy / math.log2(m + 1), len(count) / m,
         kind["d"] / m, kind["u"] / m, kind["l"] / m, kind["s"] / m,

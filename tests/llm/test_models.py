@@ -75,3 +75,31 @@ def test_texts_without_a_trigger_are_left_out():
     texts = ["no sign", None, "a=b", "x1", "-----BEGIN PRIVATE KEY-----", string.ascii_letters]
     assert secret_scan.holds_any(pa.array(texts)).tolist() == [False, False, True, True, True, False]
     assert len(odd_rows()) > 40
+
+
+def test_planted_secrets_become_candidates(forest):
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    forms = ["https://h.example/login?user=bob&password={}", "cfg={{user:bob,password:{}}}", "mode=x;token={}", 'token2 = "{}"', "auth=call?password={}", "pwd: {}, and", "Authorization: Bearer {}"]
+    for form in forms:
+        scores = []
+        for n in (10, 16, 32):
+            for _ in range(20):
+                value = key(n)
+                text = "Some words before. " + form.format(value) + " and words after that."
+                at = [(s, e) for s, e, _ in secret_scan.candidates(text) if text[s:e] == value]
+                assert len(at) == 1, text
+                scores.append(forest.score(np.array([secret_scan.features(text, *at[0])]))[0])
+        assert np.mean(np.array(scores) >= 0.5) > 0.9, form
+    assert [t for t in ("token=" * 100_000, "token=" + ",;" * 100_000) if len(secret_scan.candidates(t)) > 100_000] == []
+
+
+def test_a_private_key_is_one_finding_to_its_end(forest):
+    rng = random.Random(10)
+    for kind in ("RSA ", "", "OPENSSH "):
+        body = "\n".join("".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(25))
+        block = f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+        for text, want in ((f"key:\n{block}\nmore", block), (f'private_key = "{block}"', block), (f"x {block[:-40]}", None)):
+            (s, e, found), *rest = secret_scan.candidates(text)
+            assert found == "issued" and not rest and (text[s:e] == want if want else text[s:].startswith(block[:1600]) and e - s >= 1600)
+            assert forest.score(np.array([secret_scan.features(text, s, e)]))[0] >= 0.5
