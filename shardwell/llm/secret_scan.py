@@ -147,10 +147,9 @@ def _coverage(value: str, words: set[str]) -> float:
 def features(text: str, start: int, end: int) -> list[float]:
     value, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 48]
     n = max(1, len(value))
-    short = value[:256]
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in short]
-    count, kind = Counter(short), Counter(kinds)
-    m = len(short) or 1
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
+    count, kind = Counter(value), Counter(kinds)
+    m = n
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
     entropy = -sum(c / m * math.log2(c / m) for c in count.values())
     around = {w.lower() for w in _WORD.findall(text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR])}
@@ -163,10 +162,10 @@ def features(text: str, start: int, end: int) -> list[float]:
     return [
         min(n, 2000), math.log(n), turns / m, entropy, entropy / math.log2(m + 1), len(count) / m,
         kind["d"] / m, kind["u"] / m, kind["l"] / m, kind["s"] / m,
-        sum(c in "0123456789abcdef" for c in short) / m, float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", short) is not None), float(m in (32, 40, 64)),
-        _coverage(short, _DICTIONARY | around), max((len(w) for w in re.findall(r"[A-Za-z]+", short)), default=0) / m,
-        short.count("/") + short.count("\\"), float(bool(re.search(r"\.[a-z]{1,5}$", short))), short.count("."), short.count("-"), short.count("_"),
-        float("://" in before[-12:] + short or before[-1:] in ("/", "\\") or after[:1] in ("/", "\\")), float(before[-1:] == "@" or "@" in short),
+        sum(c in "0123456789abcdef" for c in value) / m, float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None), float(m in (32, 40, 64)),
+        _coverage(value, _DICTIONARY | around), max((len(w) for w in re.findall(r"[A-Za-z]+", value)), default=0) / m,
+        value.count("/") + value.count("\\"), float(bool(re.search(r"\.[a-z]{1,5}$", value))), value.count("."), value.count("-"), value.count("_"),
+        float("://" in before[-12:] + value or before[-1:] in ("/", "\\") or after[:1] in ("/", "\\")), float(before[-1:] == "@" or "@" in value),
         float(bool(beside & _TELLING)), float(bool(beside & _HARMLESS)), float(nearest in _TELLING), float(nearest in _HARMLESS),
         float(bool(re.search(r"[=:]>?\s{0,3}[\"'`]?$", before))), float(before[-1:] in ("'", '"', "`") and before[-1:] == after[:1]),
         float(bool(_ISSUED.match(value))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))), max(count.values(), default=0) / m,

@@ -103,3 +103,13 @@ def test_a_private_key_is_one_finding_to_its_end(forest):
             (s, e, found), *rest = secret_scan.candidates(text)
             assert found == "issued" and not rest and (text[s:e] == want if want else text[s:].startswith(block[:1600]) and e - s >= 1600)
             assert forest.score(np.array([secret_scan.features(text, s, e)]))[0] >= 0.5
+
+
+def test_features_see_the_whole_candidate():
+    rng = random.Random(13)
+    path = "/".join("path" for _ in range(70)) + "1"
+    key = "".join(rng.choices(string.ascii_letters + string.digits, k=200))
+    one, two = (f"see {path}/{end}" for end in ("path/" * 40, key))
+    assert len(path) > 256
+    a, b = (secret_scan.features(t, 4, 4 + len(path) + 1 + 200) for t in (one, two))
+    assert a[0] == b[0] and all(x != y for x, y in zip(a[2:6], b[2:6], strict=True)) and a[13] != b[13]
