@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOADS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 64
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -52,23 +54,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
-        if n > 1 << 23:
-            return _powers_of(n)
-        have = _powers[0] = _powers_of(max(n, 1 << 21))
-    return have[0][:n], have[1][:n]
+def binary16(first: np.ndarray, second: np.ndarray) -> pa.Array:
+    """Keys of 16 bytes from two halves."""
+    both = np.stack([first.view(U64), second.view(U64)], axis=1)
+    at = np.arange(0, 16 * len(first) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(both.astype(">u8").tobytes())])
 
 
-def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def lists_of(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of the given numbers of items, one after another in data."""
+    at = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def unlisted(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Items of binary values in a row, and where each value begins (one more at the end)."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    if data is None or not len(at) or at[-1] == at[0]:
+        return np.zeros(0, kind), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), (at - at[0]) // size
 
 
 class Words:
@@ -101,14 +108,72 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes: a polynomial from prefix sums, then a finisher."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes: its length and its 8-byte words go one after another through a mixing step, so no two patterns of bytes cancel. Long spans go to xxh3."""
+    size = end - start
     if not len(start):
         return np.zeros(0, U64)
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    words = first_bytes(data)
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64((salt * 0xD1B54A32D192ED03 + 1) & 0xFFFFFFFFFFFFFFFF))
+    h = mix((h ^ (words[start] & _LOADS[np.minimum(size, 8)])) * U64(0xC2B2AE3D27D4EB4F))
+    done, open_ = 8, np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    while len(open_):
+        chunk = words[start[open_] + done] & _LOADS[np.minimum(size[open_] - done, 8)]
+        h[open_] = mix((h[open_] ^ chunk) * U64(0xC2B2AE3D27D4EB4F))
+        done += 8
+        open_ = open_[size[open_] > done]
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = mix(np.array([xxhash.xxh3_64_intdigest(raw[a:b], salt) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], U64))
+    return h
+
+
+def first_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return eights(padded)
+
+
+def eights(padded: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each place on, but for the last eight places."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
+def same_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of equal size hold equal bytes; a and b have eight bytes to spare at the end."""
+    u, v = eights(a), eights(b)
+    same = ((u[at_a] ^ v[at_b]) & _LOADS[np.minimum(size, 8)]) == 0
+    open_ = np.flatnonzero(same & (size > 8) & (size <= LONG_SPAN))
+    done = 8
+    while len(open_):
+        same[open_] = ((u[at_a[open_] + done] ^ v[at_b[open_] + done]) & _LOADS[np.minimum(size[open_] - done, 8)]) == 0
+        done += 8
+        open_ = open_[same[open_] & (size[open_] > done)]
+    for i in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+        same[i] = np.array_equal(a[at_a[i] : at_a[i] + size[i]], b[at_b[i] : at_b[i] + size[i]])
+    return same
+
+
+def run_hash(h: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of `length` items, by doubling. Ends of texts are not minded."""
+    have, out, rest = 1, None, length
+    part, size = h, 0
+    while rest:
+        if rest & 1:
+            if out is None:
+                out, size = part, have
+            else:
+                n = len(h) - size - have + 1
+                out = mix(out[: max(n, 0)] * U64(0xFF51AFD7ED558CCD) + part[size : size + max(n, 0)])
+                size += have
+        rest >>= 1
+        if rest:
+            n = max(len(part) - have, 0)
+            part = mix(part[:n] * U64(0xC2B2AE3D27D4EB4F) + part[have : have + n])
+            have *= 2
+    return out
 
 
 def runs(words: Words, k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library, by distinct words.
 
 The tokenizers handled here drop white space and never join characters across it, so a text's ids are
-its words' ids in a row. Each distinct word is encoded once by the library and remembered, under its
-64-bit hash, up to `REMEMBERED` words of a worker; then the memory starts afresh. Words are found,
-hashed and looked up as whole arrays.
+its words' ids in a row. Each distinct word is encoded once by the library and remembered with its
+bytes, up to `REMEMBERED` words of a worker; then the memory starts afresh. Words are found, hashed,
+looked up and compared with the bytes of what was found as whole arrays; a word whose hash another word
+has is encoded anew.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textkit import U64, flat, span_hash
+from .textkit import U64, flat, same_spans, span_hash
 
 REMEMBERED = 1_500_000
+REMEMBERED_BYTES = 64 << 20
 #: A control character with an id of its own.
 MARK, BETWEEN = b"\x01", b" \x01 "
 _loaded: dict[str, WordEncoder] = {}
@@ -116,6 +118,8 @@ class WordEncoder:
         self.known = HashTable()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.count, self.bytes, self.bytes_used = 0, np.zeros((1 << 20) + 8, np.uint8), 0
+        self.word_at, self.word_size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words and how many each has. A mark that stands between words tells them apart, so the library sees few long texts; words that hold the mark go alone."""
@@ -129,22 +133,34 @@ class WordEncoder:
             raise AssertionError("the mark between words does not tell them apart")
         return got[got != self.mark], sizes
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words that are put in."""
         odd = [i for i, w in enumerate(words) if MARK in w]
         marked = set(odd)
         rest = [i for i in range(len(words)) if i not in marked] if odd else list(range(len(words)))
+        out = np.zeros(len(words), np.int32)
         for part in [x[i : i + 2048] for x in (rest, odd) for i in range(0, len(x), 2048)]:
-            ids, sizes = self._ids([words[i] for i in part])
-            k, total = self.known.count, len(ids)
+            own = [words[i] for i in part]
+            ids, sizes = self._ids(own)
+            raw, lengths = np.frombuffer(b"".join(own), np.uint8), np.array([len(w) for w in own])
+            k, total = self.count, len(ids)
             while k + len(part) > len(self.at):
-                self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
+                self.at, self.length, self.word_at, self.word_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length, self.word_at, self.word_size))
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while self.bytes_used + len(raw) + 8 > len(self.bytes):
+                self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
             self.ids[self.used : self.used + total] = ids
+            self.bytes[self.bytes_used : self.bytes_used + len(raw)] = raw
             self.at[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.length[k : k + len(part)] = sizes
+            self.word_at[k : k + len(part)] = self.bytes_used + np.cumsum(lengths) - lengths
+            self.word_size[k : k + len(part)] = lengths
             self.used += total
-            self.known.add(hashes[part], np.arange(k, k + len(part), dtype=np.int32))
+            self.bytes_used += len(raw)
+            self.count += len(part)
+            out[part] = np.arange(k, k + len(part), dtype=np.int32)
+        return out
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (each closed by `end`), and how many each text has. Null counts as empty."""
@@ -184,15 +200,23 @@ class WordEncoder:
         start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         first = np.searchsorted(start, at)
         hashes = span_hash(low, start, stop)
-        if self.known.count > REMEMBERED:
+        if self.count > REMEMBERED or self.bytes_used > REMEMBERED_BYTES:
             self.forget()
         codes = self.known.get(hashes)
+        raw = low.tobytes()
+        spans = lambda at: [raw[i:j] for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
         missing = np.flatnonzero(codes < 0)
         if len(missing):
             fresh, where = np.unique(np.maximum(hashes[missing], U64(1)), return_index=True)
-            raw, a, b = low.tobytes(), start[missing[where]].tolist(), stop[missing[where]].tolist()
-            self._learn(fresh, [raw[i:j] for i, j in zip(a, b, strict=True)])
+            self.known.add(fresh, self._learn(spans(missing[where])))
             codes[missing] = self.known.get(hashes[missing])
+        length = stop - start
+        padded = np.frombuffer(raw + bytes(8), np.uint8)
+        other = np.flatnonzero(self.word_size[codes] != length)
+        like = np.flatnonzero(self.word_size[codes] == length)
+        other = np.concatenate([other, like[~same_spans(padded, start[like], self.bytes, self.word_at[codes[like]], length[like])]])
+        if len(other):  # another word has their hash
+            codes[other] = self._learn(spans(other))
         size = self.length[codes].astype(np.int64)
         run = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         out = self.ids[np.arange(run[-1]) + np.repeat(self.at[codes] - run[:-1], size)]
