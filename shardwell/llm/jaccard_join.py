@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .asked import asked_table, holds
 from .components import components
 from .runtime import documents, query, text_of, width, written
 from .textkit import U64, Words, binary16, lists_of, mix, pieces, runs, unlisted
@@ -45,7 +46,6 @@ LEAST_DIGEST, MOST_DIGEST = 64, 1 << 16
 HELD = 1 << 20
 #: Members of a hub whose segments meet the hub's in one group.
 GROUP = 4096
-MOST_BLOOM = 1 << 27
 _CLASS_SHIFT = U64(57)
 _LOW = U64((1 << 57) - 1)
 
@@ -299,32 +299,7 @@ def _tried(pairs: DataFrame, classes: DataFrame, percent: int, what: str) -> Dat
     return written(both.select("a", "b", "n_a", "n_b", "digest_a", "digest_b").mapInArrow(_near(percent), "a binary, b binary, n_a long, n_b long"), what)
 
 
-def _bloom_bits(bits: int):
-    def go(batches):
-        held = np.zeros(bits, bool)
-        seen = False
-        for batch in batches:
-            at, _ = unlisted(batch.column("cid"), ">u8")
-            held[(at[::2] % U64(bits)).astype(np.int64)] = True
-            seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["bits"])
-
-    return go
-
-
-def _asked(pairs: DataFrame) -> np.ndarray:
-    """One bit for each class of the pairs, by its key; a table of eight places for each pair, at most MOST_BLOOM bits. A bit set by another class costs work, not correctness."""
-    n = 2 * pairs.count()
-    bits = min(MOST_BLOOM, 1 << max(10, (8 * n).bit_length()))
-    cids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
-    out = np.zeros(bits // 8, np.uint8)
-    for row in cids.coalesce(16).mapInArrow(_bloom_bits(bits), "bits binary").collect():  # 16 rows
-        out |= np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
-    return out
-
-
-def _segments(order, k: int, bloom):
+def _segments(order, k: int, asked):
     schema = pa.schema([("cid", pa.binary()), ("frag", pa.int32()), ("toks", pa.binary())])
 
     def go(batches):
@@ -333,9 +308,7 @@ def _segments(order, k: int, bloom):
             for batch in pieces(whole):
                 sets = shingle_sets(batch.column("text"), k)
                 _, k1, k2 = set_keys(sets)
-                at = (k1.view(U64) % U64(8 * len(bloom.value))).astype(np.int64)
-                asked = (bloom.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                mine = [i for i in np.flatnonzero(asked).tolist() if len(sets[i]) and not ((c := (int(k1[i]), int(k2[i]))) in done or done.add(c))]
+                mine = [i for i in np.flatnonzero(holds(asked.value, k1)).tolist() if len(sets[i]) and not ((c := (int(k1[i]), int(k2[i]))) in done or done.add(c))]
                 if not mine:
                     continue
                 ranked = order.value.ranked([sets[i] for i in mine])
@@ -373,11 +346,16 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(shared)], ["a", "b", "n_a", "n_b", "shared"]).filter(keep)
 
 
+def _first_half(key: str):
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+
+
 def verified(pairs: DataFrame, base: DataFrame, order, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b, n_a, n_b) that link, with their overlap: partial overlaps by fragment, summed for each pair."""
     spark = pairs.sparkSession
-    bloom = spark.sparkContext.broadcast(_asked(pairs))
-    segments = base.mapInArrow(_segments(order, k, bloom), "cid binary, frag int, toks binary")
+    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).select(_first_half("cid").alias("key"))
+    asked = spark.sparkContext.broadcast(asked_table(asked))
+    segments = base.mapInArrow(_segments(order, k, asked), "cid binary, frag int, toks binary")
     segments = written(segments.dropDuplicates(["cid", "frag"]), "segments")
     hubs = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts")), "hubs")
     own = hubs.join(segments, hubs["a"] == segments["cid"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "frag", F.lit(None).cast("binary").alias("b"), F.lit(0).cast("long").alias("n_a"), F.lit(0).cast("long").alias("n_b"), "toks")
@@ -390,7 +368,7 @@ def verified(pairs: DataFrame, base: DataFrame, order, k: int = SHINGLE, percent
 
 def _cross(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs x, y (first key halves) of sets of different components that meet where a link is possible: first components, then their sets."""
-    own = met.select("tok", "cid", "n", "pos").join(labels.select(F.conv(F.hex(F.substring("v", 1, 8)), 16, -10).cast("long").alias("cid"), "label"), "cid", "left")
+    own = met.select("tok", "cid", "n", "pos").join(labels.select(_first_half("v").alias("cid"), "label"), "cid", "left")
     own = own.withColumn("label", F.coalesce("label", F.to_binary(F.lpad(F.hex("cid"), 16, "0"), F.lit("hex"))))
     mixed = own.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v")).filter("u <> v").select("tok")
     own = written(own.join(mixed, "tok", "left_semi"), "mixed-meetings")

@@ -108,26 +108,37 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_chains_against_all_chains():
     rng = random.Random(2)
-    for _ in range(30):
+    for _ in range(60):
         n = rng.randint(1, 8)
-        x, y = [rng.randint(0, 60) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)]
+        x, y, size = [rng.randint(0, 60) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)], [rng.randint(6, 20) for _ in range(n)]
         cost, k = substring_dedup.SKIP_COST, substring_dedup.K
+        last = lambda i, s, size=size, k=k: s[i] + size[i] - k
 
-        def value(c, x=x, y=y, cost=cost, k=k):
-            return k * len(c) - cost * sum(x[b] + y[b] - x[a] - y[a] - 2 * k for a, b in itertools.pairwise(c))
+        def value(c, x=x, y=y, size=size, cost=cost, k=k, last=last):
+            return sum(size[i] for i in c) - cost * sum(x[b] + y[b] - last(a, x) - last(a, y) - 2 * k for a, b in itertools.pairwise(c))
 
-        best = max(value(c) for r in range(1, n + 1) for c in itertools.permutations(range(n), r) if all(x[a] < x[b] and y[a] < y[b] for a, b in itertools.pairwise(c)))
-        found = substring_dedup.chains(x, y)
+        best = max(value(c) for r in range(1, n + 1) for c in itertools.permutations(range(n), r) if all(last(a, x) < x[b] and last(a, y) < y[b] for a, b in itertools.pairwise(c)))
+        found = substring_dedup.chains(x, y, size)
         assert abs(value(found[0]) - best) < 1e-9 and sorted(i for c in found for i in c) == list(range(n))
 
 
+def test_blocks_and_parts():
+    x, y = np.array([0, 3, 9, 20, 5]), np.array([10, 13, 19, 30, 90])
+    assert sorted(zip(*substring_dedup.blocks(x, y), strict=True)) == [(0, 10, 15), (5, 90, 6), (20, 30, 6)]
+    assert substring_dedup.parted([0, 8, 500], [0, 11, 503], [10, 10, 20]) == [[(0, 0, 10), (10, 13, 8)], [(500, 503, 20)]]
+    assert substring_dedup.matched(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
+    # 100 words, 90 amiss, 100 words: two parts; with 20 amiss, one
+    assert substring_dedup.alike([0, 190], [0, 190], [100, 100], [0]) == [(0, 0), (1, 1)]
+    assert substring_dedup.alike([0, 120], [0, 120], [100, 100], [0]) == [(0, 1)]
+
+
 def test_alignment_counts_matches():
     a = np.arange(200, dtype=np.uint64)
-    b = a.copy()
-    b[50] = 999
-    b = np.delete(b, 100)
-    assert substring_dedup.align(a, b, [20, 60, 120], [20, 60, 119]) == (0, 200, 0, 199, 198)
-    assert substring_dedup.matched(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
+    b = np.delete(np.where(a == 50, 999, a).astype(np.uint64), 100)
+    x, y, size = [20, 51, 101], [20, 51, 100], [30, 49, 40]
+    gaps = lambda w, at: [w[: at[0]], *(w[p + n : q] for p, n, q in zip(at, size, at[1:], strict=False)), w[at[-1] + size[-1] :]]
+    assert list(substring_dedup.passages(x, y, size, gaps(a, x), gaps(b, y), (False,) * 4)) == [(0, 200, 0, 199, 198)]
+    assert list(substring_dedup.passages(x, y, size, gaps(a, x), gaps(b, y), (True,) * 4)) == [None]
 
 
 def test_repeated_passages_are_found_and_only_these(spark, odd, none):
@@ -183,24 +194,82 @@ def test_a_passage_is_followed_beyond_the_words_first_fetched(spark, monkeypatch
     assert [(r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df).collect()] == [(0, 299)]
 
 
-def test_edited_lone_passages_are_found():
+def fresh_words(rng, n):
+    return [f"{a}{rng.randint(0, 10**6)}" for a in rng.choices("abcdef", k=n)]
+
+
+def shares(rows, got):
+    """Of each pair of documents, words of the first in a row of the result."""
+    out = {}
+    for r in got:
+        for i, j, s, e in ((r.doc_id, r.other_id, r.start_word, r.end_word), (r.other_id, r.doc_id, r.other_start, r.other_end)):
+            out.setdefault((i, j), set()).update(range(s, e))
+    return out
+
+
+def test_edited_lone_passages_are_found(spark):
     rng = random.Random(4)
-    fresh = lambda n: [f"{a}{rng.randint(0, 10**6)}" for a in rng.choices("abcdef", k=n)]
-    for size, every, share in ((60, 10, 0), (60, 8, 0), (80, 8, 0), (60, 0, 0.05), (60, 0, 0.1), (80, 0, 0.2), (100, 0, 0.2)):
-        found = tried = 0
-        while tried < 40:
-            one = fresh(size)
+    for size, every, share in ((60, 10, 0), (80, 8, 0), (60, 0, 0.05), (60, 0, 0.1), (100, 0, 0.15)):
+        rows, pairs = [], []
+        while len(pairs) < 40:
+            one = fresh_words(rng, size)
             two = ["changed" if (n % every == every - 1 if every else rng.random() < share) else w for n, w in enumerate(one)]
             same = sum(a == b for a, b in zip(one, two, strict=True))
-            if same < 50 or same < 0.8 * size:
-                continue
-            tried += 1
-            words = substring_dedup.Words(pa.array([" ".join(fresh(30) + w + fresh(30)) for w in (one, two)]))
-            h, row, pos = substring_dedup.seeds(words)
-            key, _, x, y = substring_dedup.links(h, row, pos, substring_dedup.long_runs(words, words.first[row] + pos, row, 50))
-            if len(key) < 2:
-                continue
-            x, y = substring_dedup.thinned(x, y)
-            ends = [substring_dedup.align(words.hash[words.first[1] :], words.hash[: words.first[1]], [x[i] for i in c], [y[i] for i in c]) for c in substring_dedup.chains(x, y) if len(c) > 1]
-            found += any(n >= 50 and n >= 0.8 * max(e - s, u - t) for s, e, t, u, n in ends)
-        assert found >= 0.97 * tried, (size, every, share, found)
+            if same >= 50 and same >= 0.8 * size:
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows) + k, " ".join(fresh_words(rng, 30) + w + fresh_words(rng, 30))) for k, w in enumerate((one, two))]
+        got = {frozenset((r.doc_id, r.other_id)) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got <= {frozenset(p) for p in pairs}
+        assert len(got) >= 0.9 * len(pairs), (size, every, share, len(got))
+
+
+def test_passages_with_any_gap_between_are_found_whatever_the_partitions(spark):
+    rng = random.Random(6)
+    rows, planted = [], []
+    for gap in (0, 30, 50, 100, 200, 300, 600, 1500, 2000):
+        for count in (1, 2, 3, 4):
+            i, parts = len(rows), [fresh_words(rng, rng.randint(55, 300)) for _ in range(count)]
+            texts = [[], []]
+            for p in parts:
+                for k in (0, 1):
+                    texts[k] += fresh_words(rng, max(0, gap + rng.randint(-gap // 3, gap // 3)))
+                    planted.append((i + k, i + 1 - k, len(texts[k]), len(texts[k]) + len(p)))
+                    texts[k] += p
+            rows += [(i + k, " ".join(t + fresh_words(rng, 20))) for k, t in enumerate(texts)]
+    results = []
+    for parts in (1, 4, 8):
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        results.append(sorted(map(tuple, got)))
+    assert results[0] == results[1] == results[2]
+    covered = shares(rows, got)
+    assert all(len(set(range(s, e)) & covered.get((i, j), set())) >= 0.97 * (e - s) for i, j, s, e in planted)
+    for r in got:  # brute force: each row's words are as alike as it says
+        a, b = (words_of(rows[i][1])[s:e] for i, s, e in ((r.doc_id, r.start_word, r.end_word), (r.other_id, r.other_start, r.other_end)))
+        n = substring_dedup.matched(np.array([hash(w) for w in a]), np.array([hash(w) for w in b]))
+        assert n >= r.matched_words >= 50 and r.identity >= 0.8
+
+
+def test_common_passages_link_all_their_texts(spark):
+    """Many texts with one passage, some of them edited, and passages within others: every text that shares 50 words with another is linked to one that has them."""
+    rng = random.Random(7)
+    common, inner = fresh_words(rng, 120), fresh_words(rng, 70)
+    rows = []
+    for i in range(60):
+        w = list(common)
+        if i % 3 == 0:
+            w[60:60] = inner
+        if i % 4 == 0:
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(fresh_words(rng, rng.randint(0, 60)) + w + fresh_words(rng, 10))))
+    texts = {i: words_of(t) for i, t in rows}
+    windows = {}
+    for i, w in texts.items():
+        for p in range(len(w) - 49):
+            windows.setdefault(tuple(w[p : p + 50]), set()).add(i)
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    covered = {}
+    for (i, _), at in shares(rows, got).items():
+        covered.setdefault(i, set()).update(at)
+    for i, w in texts.items():
+        for p in range(len(w) - 49):
+            assert len(windows[tuple(w[p : p + 50])]) < 2 or covered[i] >= set(range(p, p + 50)), (i, p)
