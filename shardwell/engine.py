@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from . import errors as E
 from .catalog import Catalog, IndexDef, SpaceDef
-from .functions.bucket import BUCKETS, bucket_column, text_column
+from .functions.bucket import BUCKETS, bucket_column, integer_bucket, text_column
 from .functions.predicates import Operand, compare
 from .operators import reader
 from .operators.results import Result, cut_objects, cut_rows, flatten, metadata_of, plain, unflatten_rows
-from .operators.writer import Change, Placement, Writer, apply_operations, check_bucket, check_row, parse_operations
+from .operators.writer import Change, Placement, State, Writer, apply_operations, check_bucket, check_row, parse_operations
 from .plans.conditions import parse
 from .plans.planner import SelectPlan, plan
-from .sources.store import Snapshot, SnapshotStore, shard_of
+from .sources.store import SHARD, Snapshot, SnapshotStore, shard_of, tag_shard
 from .stats import RateLimiter, Settings, Stats, counted
 
 log = logging.getLogger("shardwell")
@@ -81,8 +81,10 @@ class Engine:
         return self.catalog.get(name, error)
 
     def _bucket(self, space: SpaceDef):
-        if space.has_bucket and space.name not in self._sources:
-            return F.col(space.bucket_field)
+        return F.col(space.bucket_field) if space.has_bucket and space.name not in self._sources else self._computed_bucket(space)
+
+    def _computed_bucket(self, space: SpaceDef):
+        kinds = {c: space.schema()[c].dataType.typeName() for c in space.shard_by}
         if space.sharding_func is not None:
             from .functions.bucket import function_of
 
@@ -97,7 +99,9 @@ class Engine:
                 return pd.Series([f(tuple(k[:n]), buckets) if two else f(tuple(k[:n])) for k in keys])
 
             return custom(F.struct(*space.shard_by))
-        return bucket_column([text_column(F.col(c), space.schema()[c].dataType.typeName()) for c in space.shard_by], self.buckets)
+        if [*kinds.values()] == ["long"]:
+            return integer_bucket(F.col(space.shard_by[0]), self.buckets)
+        return bucket_column([text_column(F.col(c), kinds[c]) for c in space.shard_by], self.buckets)
 
     def _rows(self, space: SpaceDef, shards: set[int] | None = None, snapshot: Snapshot | None = None) -> DataFrame:
         """Rows of some shards. Of kept tables only these shards' files are read."""
@@ -261,7 +265,7 @@ class Engine:
     def _insert_act(self, w: Writer):
         def act(state, shard, row, more):
             key = w.key(row)
-            if (held := state.get((shard, key))) is not None or (w.global_unique and any(k == key and v is not None for (_, k), v in state.items())):
+            if (held := state.get((shard, key))) is not None or (w.global_unique and state.by_key.get(key)):
                 raise w.duplicate(w.space.primary.name, held or row)
             if (index := w.clash(state, shard, row, None)) is not None:
                 raise w.duplicate(index, row)
@@ -434,7 +438,7 @@ class Engine:
         good = []
         if at in before:
             row = check_row(definition, apply_operations(definition, before[at], parsed))
-            state = before | w.touched(snapshot, {at[0]}, [row], [])
+            state = State(w, before | w.touched(snapshot, {at[0]}, [row], []))
             if (index := w.clash(state, at[0], row, at[1])) is not None:
                 raise w.duplicate(index, row)
             w.commit(snapshot, Change({at: row}, {at}))
@@ -456,20 +460,32 @@ class Engine:
         self.store.commit(space, self.store.snapshot(space), {})
         return True
 
-    def load(self, space: str, rows: DataFrame) -> None:
-        """Take in a whole DataFrame of new rows (their keys are not looked up): buckets, one shuffle by shard, files, one snapshot."""
+    def load(self, space: str, rows: DataFrame, *, check: bool = True) -> None:
+        """Take in a whole DataFrame of new rows: buckets, one shuffle by shard, files, one snapshot. Keys that are there or repeat are an error; check=False leaves them unlooked at."""
         definition, w = self._writer(space, E.InsertManyError)
         if definition.has_bucket and definition.bucket_field not in rows.columns:
-            rows = rows.withColumn(definition.bucket_field, bucket_column([text_column(F.col(c), rows.schema[c].dataType.typeName()) for c in definition.shard_by], self.buckets))
+            rows = rows.select(*[F.col(c).cast(definition.schema()[c].dataType).alias(c) if definition.field(c) else F.col(c) for c in rows.columns])
+            rows = rows.withColumn(definition.bucket_field, self._computed_bucket(definition))
         bucket = F.col(definition.bucket_field) if definition.has_bucket else self._bucket(definition)
         cast = [F.col(f.name).cast(f.data_type).alias(f.name) for f in definition.fields]
         sharded = rows.withColumn("__shard", shard_of(bucket, self.shards, self.buckets)).select(*cast, "__shard").repartition("__shard", definition.primary.parts[0].field)
         snapshot = self.store.snapshot(space)
+        if check:
+            self._check_keys(definition, w, sharded, snapshot)
         files = {s: list(f) for s, f in snapshot.files.items()}
         for shard, names in self.store.write_files(space, sharded, [p.field for p in definition.primary.parts]).items():
             files.setdefault(shard, []).extend(names)
         self.store.commit(space, snapshot, files)
 
+    def _check_keys(self, definition: SpaceDef, w: Writer, rows: DataFrame, snapshot: Snapshot) -> None:
+        """Each unique index of new rows, by shard unless keys are unique everywhere: one shuffle for each index, one row to the driver."""
+        there = tag_shard(self.store.read(definition.schema(), snapshot))
+        for index in [definition.primary, *w.unique]:
+            names = [SHARD] * (not self.global_unique) + [p.field for p in index.parts]
+            some = rows.select(*names).union(there.select(*names)).dropna().groupBy(*names).count().filter("count > 1").drop(SHARD, "count").head()
+            if some is not None:
+                raise w.duplicate(index.name, list(some))
+
     # read views
 
     def readview(self, *, name: str | None = None, timeout: float | None = None) -> ReadView:

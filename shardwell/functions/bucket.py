@@ -75,6 +75,29 @@ def crc32c_column(text: Column) -> Column:
     return F.aggregate(places, F.lit(0xFFFFFFFF).cast("long"), step)
 
 
+#: Characters of a 64-bit number as text.
+_DIGITS, _MOST_DIGITS = "-0123456789", 20
+
+
+def integer_bucket(number: Column, buckets: int = BUCKETS) -> Column:
+    """strcrc32 of a whole number. A CRC is linear: each character adds the table's entry for it, moved on by as many zero bytes as follow, so the sum is spelled out by place instead of folded byte by byte."""
+
+    def moved(crc: int, places: int) -> int:
+        for _ in range(places):
+            crc = TABLE[crc & 255] ^ crc >> 8
+        return crc
+
+    text = number.cast("string")
+    length, total = F.length(text), F.lit(0).cast("long")
+    spelled = lambda values: F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+    for p in range(1, _MOST_DIGITS + 1):  # the p-th character from the end
+        c = F.substring(text, -p, 1)
+        entry = F.get(spelled([moved(TABLE[ord(d)], p - 1) for d in _DIGITS]), F.instr(F.lit(_DIGITS), c) - 1)
+        total = total.bitwiseXOR(F.when(length >= p, entry).otherwise(F.lit(0)))
+    start = F.get(spelled([moved(0xFFFFFFFF, n) for n in range(1, _MOST_DIGITS + 1)]), length - 1)
+    return total.bitwiseXOR(start) % buckets + 1
+
+
 def bucket_column(parts: list[Column], buckets: int = BUCKETS) -> Column:
     return crc32c_column(F.concat(*parts)) % buckets + 1
 

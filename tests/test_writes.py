@@ -4,7 +4,7 @@ import pytest
 
 from shardwell import Engine, FieldDef, IndexDef, SpaceDef
 from shardwell import errors as E
-from shardwell.functions.bucket import bucket_column, strcrc32, text_column
+from shardwell.functions.bucket import bucket_column, integer_bucket, strcrc32, text_column
 from shardwell.operators import bulk
 from shardwell.streaming import changes
 
@@ -151,6 +151,57 @@ def test_bucket_column_agrees_with_python(spark):
     assert [tuple(r) for r in got] == [(strcrc32(n), strcrc32((s, n)), strcrc32(s)) for n, s in rows]
 
 
+def test_integer_buckets_agree_with_python(spark):
+    values = [0, 1, -1, 9, 10, 58, 123456789, -123456789012, 2**63 - 1, -(2**63), *range(990, 1010)]
+    df = spark.createDataFrame([(v,) for v in values], "n long")
+    assert [r[0] for r in df.select(integer_bucket(df["n"])).collect()] == [strcrc32(v) for v in values]
+
+
+def test_two_racing_writers(engine):
+    import threading
+
+    engine.insert("customers", [1, None, "a", 1])
+    base, done, failed = engine.store.snapshot("customers"), [], []
+    gate = threading.Barrier(8)
+
+    def write():
+        gate.wait()
+        try:
+            done.append(engine.store.commit("customers", base, base.files))
+        except E.CommitConflictError as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write) for _ in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(done) == 1 and len(failed) == 7 and engine.store.snapshot("customers").of() == base.of()
+
+
+def test_a_large_batch_takes_seconds(engine):
+    import time
+
+    began = time.monotonic()
+    result, errors = engine.insert_many("developers", [[n, None, f"login{n}"] for n in range(1, 10_001)])
+    assert errors is None and len(result) == 10_000 and engine.len("developers") == 10_000
+    result, errors = engine.replace_many("developers", [[n, None, f"other{n}"] for n in range(1, 10_001)])
+    assert errors is None and engine.len("developers") == 10_000 and time.monotonic() - began < 60
+
+
+def test_load_looks_keys_up(spark, engine):
+    engine.load("developers", spark.range(1, 50).selectExpr("id", "concat('n', id) AS login"))
+    for rows in (spark.range(40, 60).selectExpr("id", "concat('m', id) AS login"), spark.createDataFrame([(90, "x"), (90, "y")], "id long, login string")):
+        with pytest.raises(E.EngineError, match="Duplicate key exists"):
+            engine.load("developers", rows)
+    assert engine.len("developers") == 49
+    pairs = SpaceDef.of("pairs", [("a", "unsigned"), ("b", "string"), ("bucket_id", "unsigned"), ("v", "number", True)], [IndexDef.on("pk", "a", "b")])
+    engine.create(pairs)
+    engine.insert_many("pairs", [[n, f"b{n % 7}", None, n] for n in range(2000)])
+    result, errors = engine.insert_many("pairs", [[n, f"b{n % 7}", None, n] for n in range(1990, 2010)])
+    assert len(errors) == 10 and len(result) == 10 and engine.len("pairs") == 2010
+
+
 def test_introspection_and_statistics(engine):
     engine.cfg(stats=True, stats_driver="metrics", stats_quantiles=True)
     engine.insert("customers", [1, None, "a", 1])
