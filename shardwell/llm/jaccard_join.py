@@ -45,7 +45,7 @@ LEAST_DIGEST, MOST_DIGEST = 64, 1 << 16
 #: Postings that a task holds and lets meet before it gives them out.
 HELD = 1 << 20
 #: Members of a hub whose segments meet the hub's in one group.
-GROUP = 4096
+GROUP = 512
 _CLASS_SHIFT = U64(57)
 _LOW = U64((1 << 57) - 1)
 
