@@ -1,9 +1,8 @@
 """Sharded tables on Spark behind one set of calls."""
 
 from .catalog import Catalog, FieldDef, IndexDef, Part, SpaceDef
-from .engine import Engine, ReadView
+from .engine import Engine, ReadView, __version__
 from .operators.results import Result
 from .plans.conditions import MISSING
 
-__version__ = "0.1.0"
 __all__ = ["MISSING", "Catalog", "Engine", "FieldDef", "IndexDef", "Part", "ReadView", "Result", "SpaceDef", "__version__"]

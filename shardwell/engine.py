@@ -11,7 +11,7 @@ import logging
 import weakref
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors as E
@@ -26,9 +26,12 @@ from .plans.planner import SelectPlan, plan
 from .sources.store import SHARD, Snapshot, SnapshotStore, shard_of, tag_shard
 from .stats import RateLimiter, Settings, Stats, counted
 
+__version__ = "0.2.0"
 log = logging.getLogger("shardwell")
 #: A scan of all rows of this many or fewer is no reason to warn.
 SMALL_FIRST = 1000
+#: Pages of more rows are sorted and cut instead of held in a heap by each task.
+LARGEST_TOP = 100_000
 
 _ROUTE = frozenset("mode prefer_replica balance request_timeout".split())
 _WRITE = frozenset("timeout fields vshard_router noreturn fetch_latest_metadata".split())
@@ -48,10 +51,13 @@ def _options(given: dict, allowed: frozenset, error=E.EngineError) -> dict:
 
 
 class Engine:
+    _VERSION = __version__
+
     def __init__(self, spark: SparkSession, root: str | None = None, *, buckets: int = BUCKETS, shards: int = 4, global_unique: bool = False):
         self.spark, self.buckets, self.shards, self.global_unique = spark, buckets, shards, global_unique
         self.catalog = Catalog()
         self.store = SnapshotStore(spark, root) if root else None
+        spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", LARGEST_TOP)
         self._sources: dict[str, Callable[[], DataFrame]] = {}
         self._stats = Stats()
         self._limiter = RateLimiter()
@@ -138,7 +144,7 @@ class Engine:
 
     # reads
 
-    def _select(self, space_name: str, conditions, opts: dict, snapshot: Snapshot | None = None, quiet: bool = False, ordered: bool = True) -> tuple[SelectPlan, DataFrame]:
+    def _select(self, space_name: str, conditions, opts: dict, snapshot: Snapshot | None = None, quiet: bool = False, ordered: bool = True, seen: Observation | None = None) -> tuple[SelectPlan, DataFrame]:
         space = self._space(space_name, E.SelectError)
         try:
             parsed = parse(conditions)
@@ -153,12 +159,17 @@ class Engine:
         shards = self._route(space, p, opts)
         if shards is None:
             self._stats.detail(space_name, map_reduces=1)
-        return p, reader.run_select(p, self._rows(space, shards, snapshot), ordered)
+        return p, reader.run_select(p, self._rows(space, shards, snapshot), ordered, seen)
 
     @counted("select")
     def select(self, space: str, conditions=None, **opts) -> Result:
-        p, df = self._select(space, conditions, _options(opts, _SELECT | _ROUTE, E.SelectError))
-        return reader.result(p.space, df, p.fields)
+        # a page is one run over the filtered rows; all rows in order are as many as the filters let through
+        seen = Observation() if self._stats.settings.stats and opts.get("first") is not None else None
+        p, df = self._select(space, conditions, _options(opts, _SELECT | _ROUTE, E.SelectError), seen=seen)
+        out = reader.result(p.space, df, p.fields)
+        if self._stats.settings.stats:
+            out._told = lambda n: self._stats.detail(space, tuples_fetched=n, tuples_lookup=n if seen is None else seen.get["n"])
+        return out
 
     def pairs(self, space: str, conditions=None, *, use_tomap: bool = False, **opts) -> Iterator:
         """Rows one after the other, partitions fetched ahead; objects with use_tomap. Counted when the iteration ends."""
@@ -533,13 +544,16 @@ class Engine:
         return {"name": index.name, "type": index.type, "unique": index.unique, "parts": parts}
 
     def storage_info(self, *, timeout=None, vshard_router=None) -> dict:
-        """Shards with their status and how many files of each table they hold."""
-        out = {s: {"status": "running" if self.store else "uninitialized", "is_master": True, "files": {}} for s in range(1, self.shards + 1)}
+        """Shards with their status and how many files and rows of each table they hold. Rows are counted from the files' footers, one small job for each table."""
+        out = {s: {"status": "running" if self.store else "uninitialized", "is_master": True, "files": {}, "rows": {}} for s in range(1, self.shards + 1)}
         for name in self.catalog.spaces if self.store else ():
             if name not in self._sources:
                 try:
-                    for shard, files in self.store.snapshot(name).files.items():
+                    snapshot = self.store.snapshot(name)
+                    for shard, files in snapshot.files.items():
                         out[shard]["files"][name] = len(files)
+                    for row in tag_shard(self.store.read(self.catalog.get(name).schema(), snapshot)).groupBy(SHARD).count().collect():  # a row for each shard
+                        out[row[SHARD]]["rows"][name] = row["count"]
                 except Exception as e:  # a shard's state is an answer, not a failure
                     for v in out.values():
                         v |= {"status": "error", "message": str(e)}
@@ -549,13 +563,20 @@ class Engine:
         """Nothing is cached: the catalog is read by each call."""
         return True
 
-    def init_router(self) -> None: ...
+    def safe_mode_status(self) -> bool:
+        """Buckets never move here, so writes need no checks of where a bucket is."""
+        return False
+
+    def safe_mode_enable(self) -> bool:
+        return False
 
-    def stop_router(self) -> None: ...
+    def safe_mode_disable(self) -> bool:
+        return False
 
-    def init_storage(self) -> None: ...
+    def init_router(self) -> None:
+        """The engine is ready when it is made; these four are there for callers that begin and end roles."""
 
-    def stop_storage(self) -> None: ...
+    stop_router = init_storage = stop_storage = init_router
 
     def vacuum(self, space: str) -> int:
         """Remove files that neither the newest version nor an open read view needs."""

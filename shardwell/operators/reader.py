@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..catalog import IndexDef, SpaceDef
@@ -19,9 +17,11 @@ def filtered(plan: SelectPlan, df: DataFrame) -> DataFrame:
     return df if wanted is None else df.filter(wanted)
 
 
-def run_select(plan: SelectPlan, df: DataFrame, ordered: bool = True) -> DataFrame:
-    """Rows in index order. A page before `after` is taken from its end, then turned round."""
+def run_select(plan: SelectPlan, df: DataFrame, ordered: bool = True, seen: Observation | None = None) -> DataFrame:
+    """Rows in index order. A page before `after` is taken from its end, then turned round. seen: gets the number `n` of rows that the filters let through."""
     out = filtered(plan, df)
+    if seen is not None:
+        out = out.observe(seen, F.count(F.lit(1)).alias("n"))
     if plan.limit is not None:
         out = out.orderBy(*order_columns(plan, reverse=plan.backward)).limit(plan.limit)
         if plan.backward:
@@ -65,6 +65,3 @@ def run_border(space: SpaceDef, df: DataFrame, index: IndexDef, largest: bool, f
 
 def result(space: SpaceDef, df: DataFrame, fields) -> Result:
     return Result(metadata_of(space, fields), df)
-
-
-Rows = Callable[[], DataFrame]

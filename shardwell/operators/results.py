@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -18,14 +18,16 @@ def plain(value):
 
 
 class Result:
-    """Metadata and a lazy DataFrame; rows are fetched when asked for."""
+    """Metadata and a lazy DataFrame; rows are fetched when asked for, `told` once of how many."""
 
-    def __init__(self, metadata: list[dict], df: DataFrame | None = None, rows: list[tuple] | None = None):
-        self.metadata, self.df, self._rows = metadata, df, rows
+    def __init__(self, metadata: list[dict], df: DataFrame | None = None, rows: list[tuple] | None = None, told: Callable[[int], None] | None = None):
+        self.metadata, self.df, self._rows, self._told = metadata, df, rows, told
 
     def rows(self) -> list[tuple]:
         if self._rows is None:
             self._rows = [tuple(map(plain, r)) for r in self.df.collect()]
+            if self._told:
+                self._told(len(self._rows))
         return self._rows
 
     def objects(self) -> list[dict]:

@@ -31,6 +31,12 @@ SPACES = [
     # no key of lineitem is unique: these give an order, for counts and whole-row queries only
     _space("lineitem", "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:s l_linestatus:s l_shipdate:t", IndexDef.on("order_line", "l_orderkey", "l_linenumber", unique=False), IndexDef.on("part", "l_partkey", unique=False)),
     _space("events", "event_id:i ts:t user_id:i event_type:s value:f props:s", IndexDef.on("pk", "event_id"), IndexDef.on("user_ts", "user_id", "ts", unique=False), IndexDef.on("ts", "ts", unique=False)),
+    _space("documents", "doc_id:i text:s lang:s source:s n_chars:i", IndexDef.on("pk", "doc_id"), IndexDef.on("lang_source", "lang", "source", unique=False), nullable=("text", "lang", "source", "n_chars")),
+    _space("embeddings", "vec_id:i embedding:a label:i", IndexDef.on("pk", "vec_id"), IndexDef.on("label", "label", unique=False)),
+    _space("pages", "page_id:i url:s html:s", IndexDef.on("pk", "page_id"), nullable=("url", "html")),
+    _space("benchmark", "item_id:i text:s", IndexDef.on("pk", "item_id"), nullable=("text",)),
+    _space("labels", "doc_id:i quality:i toxic:i", IndexDef.on("pk", "doc_id"), IndexDef.on("quality", "quality", unique=False)),
+    _space("conversations", "conv_id:i turn:i role:s text:s", IndexDef.on("pk", "conv_id", "turn"), nullable=("role", "text")),
 ]
 
 

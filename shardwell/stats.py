@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+import math
 import time
-from collections import deque
+from collections import Counter
 from dataclasses import dataclass, field, fields
 
 from .errors import CfgError, StatsError
@@ -35,23 +36,52 @@ class Settings:
         return Settings(**{f.name: new.get(f.name, getattr(self, f.name)) for f in fields(self)})
 
 
+class Quantiles:
+    """Latencies of the last age buckets as counts by powers of a base near 1: every call counts, within the tolerated relative error."""
+
+    def __init__(self, clock=time.monotonic):
+        self.clock, self.held = clock, {}
+
+    def add(self, seconds: float, settings: Settings) -> None:
+        turn = int(self.clock() // settings.stats_quantile_max_age_time)
+        self.held.setdefault(turn, Counter())[math.ceil(math.log(max(seconds, 1e-9), self._base(settings)))] += 1
+        for old in [t for t in self.held if t <= turn - settings.stats_quantile_age_buckets_count]:
+            del self.held[old]
+
+    @staticmethod
+    def _base(settings: Settings) -> float:
+        e = max(1e-6, settings.stats_quantile_tolerated_error)
+        return (1 + e) / (1 - e)
+
+    def of(self, share: float, settings: Settings) -> float:
+        turn, all_ = int(self.clock() // settings.stats_quantile_max_age_time), Counter()
+        for t, counts in self.held.items():
+            if t > turn - settings.stats_quantile_age_buckets_count:
+                all_.update(counts)
+        rank, base = min(sum(all_.values()) - 1, int(share * sum(all_.values()))), self._base(settings)
+        for k in sorted(all_):
+            rank -= all_[k]
+            if rank < 0:
+                return 2 * base**k / (base + 1)
+        return 0.0
+
+
 @dataclass
 class Times:
     count: int = 0
     time: float = 0.0
-    recent: deque = field(default_factory=lambda: deque(maxlen=4096))
+    recent: Quantiles = field(default_factory=Quantiles)
 
-    def add(self, seconds: float) -> None:
+    def add(self, seconds: float, settings: Settings) -> None:
         self.count += 1
         self.time += seconds
-        self.recent.append((time.monotonic(), seconds))
+        if settings.stats_driver == "metrics" and settings.stats_quantiles:
+            self.recent.add(seconds, settings)
 
     def view(self, settings: Settings) -> dict:
         out = {"count": self.count, "time": self.time, "latency_average": self.time / self.count if self.count else 0}
         if settings.stats_driver == "metrics" and settings.stats_quantiles:
-            age = settings.stats_quantile_max_age_time * settings.stats_quantile_age_buckets_count
-            held = sorted(s for at, s in self.recent if time.monotonic() - at <= age)
-            out["latency_quantile_recent"] = held[min(len(held) - 1, int(0.99 * len(held)))] if held else 0
+            out["latency_quantile_recent"] = self.recent.of(0.99, settings)
         out["latency"] = out.get("latency_quantile_recent", out["latency_average"])
         return out
 
@@ -68,10 +98,10 @@ class Stats:
     def observe(self, space: str, operation: str, ok: bool, seconds: float) -> None:
         if not self.settings.stats:
             return
-        self.calls.setdefault(space, {}).setdefault(operation, {"ok": Times(), "error": Times()})["ok" if ok else "error"].add(seconds)
+        self.calls.setdefault(space, {}).setdefault(operation, {"ok": Times(), "error": Times()})["ok" if ok else "error"].add(seconds, self.settings)
 
     def detail(self, space: str, **counts: int) -> None:
-        """tuples_fetched: rows given out; tuples_lookup: rows read by the scan (no tree lookups exist here); map_reduces: reads of all shards."""
+        """tuples_fetched: rows given out; tuples_lookup: rows that the scan's filters let through (no tree lookups exist here); map_reduces: reads of all shards."""
         if not self.settings.stats:
             return
         own = self.details.setdefault(space, {"map_reduces": 0, "tuples_fetched": 0, "tuples_lookup": 0})

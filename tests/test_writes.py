@@ -243,5 +243,5 @@ def test_load_and_bulk(spark, engine):
     assert rows(good) == [(1, 10), (2, 20), (3, 7)] and rows(bad.select("k", "v")) == [(2, 5), (2, 6), (3, 8)]
     from pyspark.sql import functions as F
 
-    assert rows(bulk.upsert(table, batch, ["k"], {"v": bulk.adding(F.lit(1))})) == [(1, 10), (2, 22), (3, 8)]
+    assert rows(bulk.upsert(table, batch, ["k"], {"v": bulk.Adding(F.lit(1))})) == [(1, 10), (2, 22), (3, 8)]
     assert rows(bulk.delete(table, spark.createDataFrame([(2,), (2,)], "k long"), ["k"])) == [(1, 10)]
