@@ -82,34 +82,43 @@ class PerfectHash:
 
 
 class Shard:
-    """A perfect hash over first line hashes that indexes an array of second hashes (fingerprints), of counts and of keepers."""
+    """A perfect hash over first line hashes that indexes an array of second hashes (fingerprints), of counts and of keepers. Lines that share a first hash with another line are listed beside it."""
 
-    def __init__(self, table: PerfectHash, prints: np.ndarray, counts: np.ndarray, keepers: np.ndarray):
-        self.table, self.prints, self.counts, self.keepers = table, prints, counts, keepers
+    def __init__(self, table: PerfectHash, prints: np.ndarray, counts: np.ndarray, keepers: np.ndarray, others: np.ndarray):
+        self.table, self.prints, self.counts, self.keepers, self.others = table, prints, counts, keepers, others
 
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> Shard:
+        h1, first = np.unique(np.asarray(h1, U64), return_index=True)
+        rest = np.setdiff1d(np.arange(len(h2)), first)
+        counts = np.minimum(counts, 2**32 - 1)
+        others = np.array([(h2[i], keepers[i], counts[i]) for i in rest], [("print", U64), ("keeper", np.int64), ("count", np.uint32)])
         table = PerfectHash.build(h1)
         at = table.index(h1)
         arrays = [np.empty(len(h1), kind) for kind in (U64, np.uint32, np.int64)]
-        for to, values in zip(arrays, (h2.astype(U64), np.minimum(counts, 2**32 - 1), keepers), strict=True):
+        for to, values in zip(arrays, (h2[first].astype(U64), counts[first], keepers[first]), strict=True):
             to[at] = values
-        return cls(table, *arrays)
+        return cls(table, *arrays, others)
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Found or not, count, keeper of each line."""
         at = self.table.index(h1)
         if not len(self.prints):
             return np.zeros(len(at), bool), np.zeros(len(at), np.uint32), np.zeros(len(at), np.int64)
-        safe = np.maximum(at, 0)
-        return (at >= 0) & (self.prints[safe] == np.asarray(h2, U64)), self.counts[safe], self.keepers[safe]
+        h2, safe = np.asarray(h2, U64), np.maximum(at, 0)
+        found, count, keeper = (at >= 0) & (self.prints[safe] == h2), self.counts[safe], self.keepers[safe]
+        for other in self.others:  # none, but for a line in some 10^10 of a shard's
+            hit = ~found & (h2 == other["print"])
+            found, count, keeper = found | hit, np.where(hit, other["count"], count), np.where(hit, other["keeper"], keeper)
+        return found, count, keeper
 
     def dump(self) -> bytes:
         table = self.table.dump()
-        return struct.pack("<QQ", len(table), len(self.prints)) + table + self.prints.tobytes() + self.counts.tobytes() + self.keepers.tobytes()
+        return struct.pack("<QQQ", len(table), len(self.prints), len(self.others)) + table + self.prints.tobytes() + self.counts.tobytes() + self.keepers.tobytes() + self.others.tobytes()
 
     @classmethod
     def load(cls, blob: bytes) -> Shard:
-        t, n = struct.unpack_from("<QQ", blob)
-        at = 16 + t
-        return cls(PerfectHash.load(blob[16:at]), np.frombuffer(blob, U64, n, at), np.frombuffer(blob, np.uint32, n, at + 8 * n), np.frombuffer(blob, np.int64, n, at + 12 * n))
+        t, n, m = struct.unpack_from("<QQQ", blob)
+        at = 24 + t
+        others = np.frombuffer(blob, [("print", U64), ("keeper", np.int64), ("count", np.uint32)], m, at + 20 * n)
+        return cls(PerfectHash.load(blob[24:at]), np.frombuffer(blob, U64, n, at), np.frombuffer(blob, np.uint32, n, at + 8 * n), np.frombuffer(blob, np.int64, n, at + 12 * n), others)

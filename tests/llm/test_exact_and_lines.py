@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import odd_rows
 
 from shardwell.llm import content_sort, line_dedup
@@ -77,3 +78,22 @@ def test_line_dedup_against_brute_force(spark, odd, none):
     got = line_dedup.line_dedup(odd).collect()
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == brute_lines([(r[0], r[1]) for r in odd_rows()])
     assert line_dedup.line_dedup(none).collect() == []
+    # many shards, packets of a few lines, and shards dealt over several copies of their blob
+    got = line_dedup.line_dedup(df, shard_keys=5, packet_lines=7, asked_lines=3).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == brute_lines(rows)
+
+
+def test_lines_that_share_a_first_hash_are_told_apart():
+    h1, h2 = np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint64)
+    shard = Shard.load(Shard.build(h1, h2, np.array([3, 4, 5]), np.array([30, 40, 50])).dump())
+    found, count, keeper = shard.probe(h1, h2)
+    assert found.all() and count.tolist() == [3, 4, 5] and keeper.tolist() == [30, 40, 50]
+
+
+def test_line_keys_against_python():
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["a", "B", " ", "\t", "\n", "\x0b", "\x0c", "\r", "é", "😀", "\u00a0", "\x1c"], k=rng.randint(0, 40))) for _ in range(400)] + ["", None, "\n", "\n\n", " \n "]
+    row, place, left, right, size, low = line_dedup.line_keys(pa.array(texts))
+    want = [(i, n, line.strip(" \t\n\x0b\f\r")) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n"))]
+    got = [(int(i), int(n), bytes(low[a:b]).decode(), int(s)) for i, n, a, b, s in zip(row, place, left, right, size, strict=True)]
+    assert got == [(i, n, k.replace("B", "b"), len(k)) for i, n, k in want]
