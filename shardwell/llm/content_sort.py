@@ -37,7 +37,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and `row` (struct of carry)."""
     n = width(docs.sparkSession)
     keyed = docs.select(
-        F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *([F.struct(*carry).alias("row")] if carry else [])
+        F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else [])
     ).withColumn("h", F.xxhash64("norm"))
     total = docs.count()
     crowded = keyed.groupBy("h").count().filter(F.col("count") > F.lit(max(total // (SHARE * n), LEAST_CROWD)))

@@ -1,9 +1,11 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Every labelled training row is counted (one pass; partial counts by task and language, a table of
-`BUCKETS` numbers each). The matrix of log probabilities has languages x BUCKETS floats, whatever
-the size of the corpus, and goes to the executors once. Texts are scored as sparse vectors: the
-distinct n-grams of a batch pick rows of the matrix, weighted by their counts.
+`BUCKETS` numbers each, given out and begun anew after `HELD` languages; summed in two steps, so that no
+task gets all tables of a language). The matrix of log probabilities has languages x BUCKETS floats,
+whatever the size of the corpus, and goes to the executors once. Texts are scored as sparse vectors:
+the distinct n-grams of a batch pick rows of the matrix, weighted by their counts. All languages have
+the same prior: a language is not likelier for being more frequent in the training rows.
 
 N-grams run over code points, lower-cased one by one, of letters only: every stretch of other
 characters is one blank, so digits, marks and white space say nothing about the language.
@@ -17,16 +19,18 @@ since n-grams of a text are far from independent.
 
 from __future__ import annotations
 
+import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import documents, query
+from .runtime import documents, map_rows, query
 from .textkit import U64, mix, pieces
 
 ORDERS = (1, 2, 3)
@@ -34,8 +38,8 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 EVIDENCE = 50.0
 UNKNOWN = "und"
-#: Languages are a closed, small set; more distinct labels than this mean a wrong column.
-MOST_LANGUAGES = 1000
+#: Languages whose counts a task holds at a time; tables that one task of the first step sums.
+HELD, STEP = 64, 256
 
 
 @cache
@@ -84,9 +88,17 @@ def _texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
 
 
+_COUNTS = "lang string, part int, counts binary"
+
+
+def _packed(held: dict[str, np.ndarray], part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([part] * len(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], ["lang", "part", "counts"])
+
+
 def _count(batches):
     """Counts of this task by language."""
     held: dict[str, np.ndarray] = {}
+    part = TaskContext.get().partitionId() // STEP
     for whole in batches:
         for batch in pieces(whole):
             bucket, row, _ = grams(_texts(batch.column("text")))
@@ -95,19 +107,25 @@ def _count(batches):
                 mine = np.array([x == lang for x in langs])
                 held.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 held[lang] += np.bincount(bucket[mine[row]], minlength=BUCKETS)
-                if len(held) > MOST_LANGUAGES:
-                    raise ValueError("lang has too many values for a language column")
+                if len(held) >= HELD:
+                    yield _packed(held, part)
+                    held = {}
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["lang", "counts"])
+        yield _packed(held, part)
 
 
 def _add(batches):
-    held: dict[str, np.ndarray] = {}
+    """Sums of what comes in order of language and part, one row for each."""
+    open_, total = None, None
     for batch in batches:
-        for lang, counts in zip(batch.column("lang").to_pylist(), batch.column("counts"), strict=True):
-            held[lang] = held.get(lang, 0) + np.frombuffer(counts.as_buffer(), np.int64)
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["lang", "counts"])
+        for lang, part, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "counts")), strict=True):
+            if (lang, part) != open_:
+                if open_ is not None:
+                    yield _packed({open_[0]: total}, open_[1])
+                open_, total = (lang, part), np.zeros(BUCKETS, np.int64)
+            total += np.frombuffer(zlib.decompress(counts), np.int64)
+    if open_ is not None:
+        yield _packed({open_[0]: total}, open_[1])
 
 
 class Model:
@@ -127,7 +145,7 @@ class Model:
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         size = np.bincount(row, minlength=len(texts))
-        total = np.stack([np.bincount(row, self.weights[bucket, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
+        total = np.stack([np.bincount(row, self.weights[bucket, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1).astype(np.float64)
         total *= np.minimum(1, EVIDENCE / np.maximum(size, 1))[:, None]
         best = total.argmax(1)
         share = np.exp(total - total.max(1, keepdims=True))
@@ -137,16 +155,18 @@ class Model:
 
 def train(rows: DataFrame) -> Model:
     """rows: text, lang. All rows are counted; at most languages x tasks tables travel, and one table of each language reaches the driver."""
-    parts = rows.filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_count, "lang string, counts binary")
-    summed = parts.repartition("lang").mapInArrow(_add, "lang string, counts binary").collect()
-    return Model.of_counts({r["lang"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in summed})
+    parts = rows.filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_count, _COUNTS)
+    for _ in range(2):
+        parts = parts.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(_add, _COUNTS).withColumn("part", F.lit(0))
+    return Model.of_counts({r["lang"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64) for r in parts.collect()})
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score after its own columns (columns of these names are replaced)."""
+    """docs with lang_pred and lang_score after its own columns (of the caller's columns those with these names are replaced, see `keep_certain` for a way that leaves them)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    docs = docs.select(*names)
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    added = (T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()))
 
     def go(batches):
         for whole in batches:
@@ -154,8 +174,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 langs, score = sent.value.predict(_texts(batch.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(go, schema)
+    return map_rows(docs, go, added)
+
+
+def keep_certain(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """docs with a known language of at least this score; all columns as they were, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def go(batches):
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                langs, score = sent.value.predict(_texts(batch.column(text_col)))
+                yield batch.filter(pa.array(np.array([x != UNKNOWN for x in langs], bool) & (score >= least)))
+
+    return map_rows(docs, go)
 
 
 def fold(doc_id: Column) -> Column:

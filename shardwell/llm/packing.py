@@ -3,10 +3,11 @@
 1. Every document is tokenised once; ids and counts go to a table in the shared folder.
 2. A document gives whole windows and a remainder. The histogram of remainders of all documents (one
    number for each length below the window) reaches the driver, which lists shallow combinations of
-   lengths that fill the window exactly (pairs, and a regular grid of triples), solves for repeat
+   lengths that fill the window exactly (all pairs and triples of lengths that occur), solves for repeat
    counts x >= 0 with A x near the histogram, and rounds them.
 3. Tasks realise the plan on their own documents, in shards of about `SHARD_IDS` ids: each takes its
-   share of every combination's count, then what else its remainders allow. What is left is packed
+   share of every combination's count (its fraction rounded up or down by a number that depends on shard and
+   combination, so that the shares of all shards add up to the plan), then what else its remainders allow. What is left is packed
    greedily end to end, cut where a window is full. The last, partial stretch is cut into powers of
    two, which need no padding.
 
@@ -29,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import documents, query, text_of, written
-from .textkit import pieces
+from .textkit import U64, mix, pieces
 from .tokens import WordEncoder, default_tokenizer
 
 WINDOW, END_ID = 2048, 1
 SHARD_IDS = 4_000_000
-TRIPLE_GRID = 48
 ROUNDS = 200
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -49,7 +49,7 @@ def combinations(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
     pairs = small[has[window - small]]
     out = [np.stack([pairs, window - pairs, 0 * pairs], 1)]
     a, b = np.meshgrid(there, there, indexing="ij")
-    good = (a <= b) & (a + 2 * b <= window) & ((a * 7 + b * 13) % max(1, min(TRIPLE_GRID, len(there) // 8)) == 0)
+    good = (a <= b) & (a + 2 * b <= window)
     a, b = a[good], b[good]
     c = window - a - b
     keep = (c >= b) & has[np.clip(c, 0, window)]
@@ -93,13 +93,20 @@ def solve(combos: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np
 def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Combinations and rounded repeat counts, the largest first. Combinations whose count rounds to none come last: they serve what rounding leaves."""
     combos = combinations(histogram, window)
-    x = solve(combos, histogram)
+    x = np.round(solve(combos, histogram)).astype(np.int64)
     order = np.argsort(-x, kind="stable")
-    return combos[order], np.round(x[order]).astype(np.int64)
+    return combos[order].astype(np.int32), x[order]
 
 
-def arrange(sizes: np.ndarray, combos: np.ndarray, counts: np.ndarray, share: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pieces of one shard: document, start, length, sequence, offset. share: this shard's part of all documents."""
+def shares(counts: np.ndarray, share: float, shard: int) -> np.ndarray:
+    """Whole counts of one shard. Over shards they come to counts x shares: what is left below one goes up with just that chance, told by a hash of shard and combination."""
+    exact = counts * share
+    drawn = (mix(np.arange(len(counts)).astype(U64) + U64(shard * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U64(11)).astype(np.float64) / (1 << 53)
+    return np.floor(exact + drawn).astype(np.int64)
+
+
+def arrange(sizes: np.ndarray, combos: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+    """Pieces of one shard: document, start, length, sequence, offset. counts: how often this shard is to take each combination."""
     number = 0
     whole, rest = sizes // window, sizes % window
     for d in np.flatnonzero(whole):
@@ -111,14 +118,14 @@ def arrange(sizes: np.ndarray, combos: np.ndarray, counts: np.ndarray, share: fl
     free, ends = edge[:-1].tolist(), edge[1:].tolist()
     free[0] = ends[0]
     begin = (whole * window).tolist()
-    lists = combos.tolist()
-    for limits in (np.ceil(counts * share).astype(np.int64).tolist(), None):
-        for i, combo in enumerate(lists):
+    for planned in (True, False):
+        there = np.array(ends) - np.array(free) > 0
+        there[0] = True  # no part
+        some = there[combos].all(axis=1) & (counts > 0 if planned else True)
+        for combo, limit in zip(combos[some].tolist(), counts[some].tolist(), strict=True):
             parts = [p for p in combo if p]
             most = min((ends[p] - free[p]) // parts.count(p) for p in parts)
-            if limits is not None:
-                most = min(most, limits[i])
-            for _ in range(most):
+            for _ in range(min(most, limit) if planned else most):
                 at = 0
                 for p in parts:
                     d = int(order[free[p]])
@@ -161,7 +168,7 @@ def _tokenise(path: str, end_id: int, id_type):
     return go
 
 
-def _pack(combos: np.ndarray, counts: np.ndarray, documents_in_all: int, window: int, id_type):
+def _pack(sent, documents_in_all: int, window: int, id_type):
     def go(batches):
         base, shard, held = TaskContext.get().partitionId() << 36, 0, 0
         docs, sizes, ids = [], [], []
@@ -171,7 +178,7 @@ def _pack(combos: np.ndarray, counts: np.ndarray, documents_in_all: int, window:
             first = np.cumsum(per) - per
             flat = np.frombuffer(b"".join(ids), id_type).astype("<u4")
             raw = memoryview(flat.tobytes())
-            rows = list(arrange(per, combos, counts, len(per) / max(documents_in_all, 1), window))
+            rows = list(arrange(per, sent.value[0], shares(sent.value[1], len(per) / max(documents_in_all, 1), base + shard), window))
             d, start, length, seq, offset = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [[]] * 5))
             at = first[d] + start
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
@@ -203,7 +210,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
     for row in tokens.groupBy((F.col("n") % window).alias("rest")).count().collect():  # a number below the window for each row
         histogram[row["rest"]] = row["count"]
     combos, counts = plan(histogram, window)
-    return tokens.mapInArrow(_pack(combos, counts, int(histogram.sum()), window, kind), PIECES)
+    sent = docs.sparkSession.sparkContext.broadcast((combos, counts))  # as many as triples of lengths below the window at most
+    return tokens.mapInArrow(_pack(sent, int(histogram.sum()), window, kind), PIECES)
 
 
 @query("op7_packing")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -9,16 +11,18 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Rows in an Arrow batch. Texts have no bound of their own, so batches are also re-cut by bytes in `textkit.pieces`.
 BATCH_ROWS = 1024
-_FALLBACK_DIR = "/tmp/checkpoints"
 _shipped: dict[str, bool] = {}
+_folders: set[str] = set()
 
 
 def query(name: str, oracle: str | None = None):
@@ -49,22 +53,60 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fallback only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: the machine's own, if the master is local, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(_FALLBACK_DIR)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. Survives the loss of any executor."""
+    """Cut lineage: write to the shared folder and read back. Survives the loss of any executor.
+
+    Results are lazy and read these tables, so they go with the application: all stand under one folder
+    of it, removed when the driver's Python ends in an orderly way; `sweep` removes them sooner.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/shardwell-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(sweep, spark, path)
+    return path
+
+
+def sweep(spark: SparkSession, path: str | None = None) -> None:
+    """Remove the tables that this application has written between its steps. Results that read them must have been used."""
+    path = path or _folder(spark)
+    with contextlib.suppress(Exception):  # at the end of the process the session may be gone
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _folders.discard(path)
+
+
+def map_rows(docs: DataFrame, go, added: tuple[T.StructField, ...] = ()) -> DataFrame:
+    """mapInArrow over rows that keep their columns, whatever their names (dots too), with `added` ones after them."""
+    names = docs.columns
+    safe = [f"c{i}" for i in range(len(names))]
+    fields = [T.StructField(s, f.dataType) for s, f in zip(safe, docs.schema.fields, strict=True)]
+    renamed = lambda batch, to: pa.RecordBatch.from_arrays(batch.columns, to)
+    after = [*safe, *(f.name for f in added)]
+
+    def named(batches):
+        for out in go(renamed(b, names) for b in batches):
+            yield renamed(out, after)
+
+    return docs.toDF(*safe).mapInArrow(named, T.StructType([*fields, *added])).toDF(*names, *(f.name for f in added))
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,7 +1,7 @@
 """Secret scans: wide candidate patterns, then a random forest that removes false positives.
 
-Candidates are values assigned to telling names, strings with a known issuer's prefix, and long runs
-of letters and digits. The forest sees each candidate's length, character make-up and transitions,
+Candidates are values assigned to telling names (of several words too, where quotes or the end of the
+line close them), strings with a known issuer's prefix, and long runs of letters and digits. The forest sees each candidate's length, character make-up and transitions,
 how much of it dictionary words cover, whether it is part of a path, and the words beside it. It is
 trained here, on labelled findings; `default_findings` makes such a set by rule from a seed (random
 keys in the ways they are written, against hashes of files, commits, ids, paths, names, placeholders
@@ -17,6 +17,7 @@ the new text where there is such a column.
 from __future__ import annotations
 
 import hashlib
+import importlib
 import math
 import random
 import re
@@ -24,6 +25,7 @@ import string
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import documents, query, text_of
+from .runtime import documents, map_rows, query, text_of
 from .textkit import flat, pieces
 
 THRESHOLD = 0.5
@@ -46,6 +48,9 @@ _NAMES = r"token|secret|passw(?:or)?d|passphrase|pwd|api[_\- ]?key|access[_\- ]?
 _NAMED = re.compile(rf"(?i)(?:{_NAMES})[a-z0-9_\-]*[\"'\]]?\s{{0,3}}:?$")
 _SEPARATOR = re.compile(r"[=:]>?\s{0,3}")
 _QUOTED = re.compile(r"[\"'`](?P<value>[^\s\"'`<>]{6,})")
+# several words: within quotes, or after '=' to the end of the line
+_QUOTED_PHRASE = re.compile(r"(?P<quote>[\"'`])(?P<value>[^\s\"'`<>]+(?: [^\s\"'`<>]+){1,15})(?P=quote)")
+_PHRASE = re.compile(r"(?P<value>[A-Za-z0-9]{2,24}(?: [A-Za-z0-9]{2,24}){2,11})[ \t]*(?:\r?\n|$)")
 # & ; , } ) end a bare value where the token ends or another assignment follows; elsewhere they are part of it
 _BARE = re.compile(r"(?:(?i:bearer|basic)\s{1,3})?(?P<value>(?:[^\s\"'`<>&;,})]|[&;,})](?![&;,})]{0,8}(?:[\s\"'`<>]|$|[{(]?[\w.\-]{1,64}\s{0,3}[=:]))){6,})")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
@@ -56,20 +61,25 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/=_.-]*[0-9])(?=[0-9+/=_.-]
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), ord("="), ord(":")]] = True
+#: How an issued secret begins; other candidates hold a digit, '=' or ':'.
+_ISSUED_BEGINS = r"AKIA|gh[pousr]_|sk-|xox[baprs]-|eyJ|-----BEGIN "
 _TELLING = frozenset("token secret password passwd passphrase pwd key apikey api auth credential credentials bearer private access login".split())
 _HARMLESS = frozenset("commit sha sha1 sha256 md5 hash checksum digest uuid guid id revision version etag file path build image integrity example sample placeholder test dummy phone order invoice number page isbn doi serial session request trace".split())
-_DICTIONARY = frozenset(
-    "about access account action address admin after again agent alpha amount application archive array asset author backend backup before beta block board body branch browser buffer build button cache "
-    "change changeme channel check child class client cloud cluster code color column command comment commit common company component config connect console content context controller cookie count create "
-    "current custom data database date debug default delete demo deploy design detail device dev docs document domain down download driver dummy edit email enable engine entry environment error event "
-    "example export factory feature field file filter first folder font form format frame function gateway general global graph group handler hash header hello here home host icon image import index "
-    "info input insert install instance integration internal invalid item java kernel label language last layout length level library license line link list local location login logger main manager map "
-    "master match media member memory menu message meta method mobile mode model module monitor name network node note number object option order output package page panel parent parser password path "
-    "payment pipeline placeholder plugin point policy port post preview primary private process product profile project property provider proxy public query queue random range read record redirect "
-    "region release remote render report request reset resource response result role root route rule sample schema scope script search section secret select send serial server service session setting "
-    "setup share simple single site size socket source space staging start state static status step stop storage store stream string style submit success support switch sync system table target task "
-    "team template test text theme thread time title token tool track transaction tree type update upload user util value vendor version video view virtual web widget window word work worker write your".split()
-)
+#: Words that hold sentences together; passphrases have few.
+_BINDING = frozenset("the a an and or of to in is are was be for on with that this it you your not as by at from will can may must if".split())
+_MODULES = "os logging argparse datetime collections subprocess shutil pathlib string configparser zipfile tarfile calendar statistics decimal ssl smtplib ftplib csv threading socket locale gettext platform getpass hashlib traceback inspect unittest http.client http.server urllib.parse urllib.request email.message html.parser xml.dom.minidom concurrent.futures".split()
+
+
+@cache
+def dictionary() -> frozenset[str]:
+    """Words of identifiers and descriptions: names in modules of the standard library and in their classes, and words that stand at least twice in their docstrings."""
+    names, told = set(), Counter()
+    for m in map(importlib.import_module, _MODULES):
+        for thing in [m, *(v for k, v in vars(m).items() if not k.startswith("_") and callable(v))]:
+            told.update(w.lower() for w in re.findall(r"[A-Za-z]{3,}", str(getattr(thing, "__doc__", None) or "")))
+            names |= set(dir(thing))
+    split = {w.lower() for n in names for w in re.findall(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}", n)}
+    return frozenset(w for w in split | {w for w, n in told.items() if n > 1} if len(w) > 2)
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -84,7 +94,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             continue
         if m.end() < reach:
             start, end = m.end(), reach
-        elif value := _QUOTED.match(text, m.end()):
+        elif value := _QUOTED_PHRASE.match(text, m.end()) or _QUOTED.match(text, m.end()) or ("=" in m[0] and _PHRASE.match(text, m.end())):
             start, end = value.span("value")
         elif value := _BARE.match(text, m.end()):
             start, end = value.span("value")
@@ -129,14 +139,14 @@ def private_keys(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _coverage(value: str, words: set[str]) -> float:
+def _coverage(value: str, words: frozenset[str], around: set[str]) -> float:
     """Share of the value's characters under words of the dictionary or of the text around it."""
     low, n = value.lower(), len(value)
     covered, at = 0, 0
     while at < n:
         best = 0
         for size in range(min(14, n - at), 2, -1):
-            if low[at : at + size] in words:
+            if (part := low[at : at + size]) in words or part in around:
                 best = size
                 break
         covered += best
@@ -144,7 +154,8 @@ def _coverage(value: str, words: set[str]) -> float:
     return covered / max(n, 1)
 
 
-def features(text: str, start: int, end: int) -> list[float]:
+def features(text: str, start: int, end: int, words: frozenset[str] | None = None) -> list[float]:
+    words = dictionary() if words is None else words
     value, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 48]
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
@@ -163,12 +174,13 @@ def features(text: str, start: int, end: int) -> list[float]:
         min(n, 2000), math.log(n), turns / m, entropy, entropy / math.log2(m + 1), len(count) / m,
         kind["d"] / m, kind["u"] / m, kind["l"] / m, kind["s"] / m,
         sum(c in "0123456789abcdef" for c in value) / m, float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None), float(m in (32, 40, 64)),
-        _coverage(value, _DICTIONARY | around), max((len(w) for w in re.findall(r"[A-Za-z]+", value)), default=0) / m,
+        _coverage(value, words, around), max((len(w) for w in re.findall(r"[A-Za-z]+", value)), default=0) / m,
         value.count("/") + value.count("\\"), float(bool(re.search(r"\.[a-z]{1,5}$", value))), value.count("."), value.count("-"), value.count("_"),
         float("://" in before[-12:] + value or before[-1:] in ("/", "\\") or after[:1] in ("/", "\\")), float(before[-1:] == "@" or "@" in value),
         float(bool(beside & _TELLING)), float(bool(beside & _HARMLESS)), float(nearest in _TELLING), float(nearest in _HARMLESS),
         float(bool(re.search(r"[=:]>?\s{0,3}[\"'`]?$", before))), float(before[-1:] in ("'", '"', "`") and before[-1:] == after[:1]),
         float(bool(_ISSUED.match(value))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))), max(count.values(), default=0) / m,
+        value.count(" "), sum(w in _BINDING for w in value.lower().split()) / max(1, value.count(" ") + 1), float(not after or after[:1] in "\r\n"),
     ]
 
 
@@ -176,7 +188,7 @@ class Forest:
     """Random forest as flat arrays; leaves hold the share of secrets."""
 
     def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.trees = trees
+        self.trees, self.words = trees, dictionary()
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
@@ -241,25 +253,33 @@ def default_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int
     alnum = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
     syllables = "ba co de ti on er an re is ing the lo ma ne pro ver te ra sen st un ion al ent ch ou qui el los der ein".split()
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
-    prose = lambda k: " ".join(pick([word(), word(), word().capitalize(), word() + pick(",.;"), pick(sorted(_DICTIONARY))]) for _ in range(k))
+    known = sorted(dictionary())
+    binding = sorted(_BINDING)
+    prose = lambda k: " ".join(pick([word(), word(), word().capitalize(), word() + pick(",.;"), pick(known)]) for _ in range(k))
     secret_names = ["token", "api_key", "apiKey", "secret", "password", "access_key", "auth_token", "private_key", "TOKEN", "SECRET_KEY", "client_secret", "passwd", "credential"]
     other_names = ["commit", "sha256", "md5", "checksum", "etag", "revision", "uuid", "request_id", "trace", "build", "integrity", "file", "version", "session id", "image"]
-    identifier = lambda: pick(["", "get", "my", "the"]) + "".join(pick(sorted(_DICTIONARY)).capitalize() for _ in range(rng.randint(2, 4))) + str(rng.randint(1, 99))
+    identifier = lambda: pick(["", "get", "my", "the"]) + "".join(pick(known).capitalize() for _ in range(rng.randint(2, 4))) + str(rng.randint(1, 99))
 
     def secret() -> tuple[str, str, str]:
         value = pick([lambda: hexes(pick([32, 40, 64, 48])), lambda: alnum(rng.randint(16, 64)), lambda: alnum(rng.randint(27, 60)) + "=", lambda: alnum(rng.randint(8, 14)) + pick("!#$%"), lambda: hexes(pick([32, 40, 64]))])()
         issued = pick(["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), "ghp_" + alnum(36), "sk-" + alnum(40), "xoxb-" + alnum(24), "eyJ" + alnum(20) + "." + alnum(30) + "." + alnum(30)])
         name, sep, q = pick(secret_names), pick([" = ", "=", ": ", ":", " => "]), pick(['"', "'", "", "`"])
+        if rng.random() < 0.12:
+            q = pick(['"', "'", ""])
+            value = " ".join(pick([pick(known), word()]) for _ in range(rng.randint(3 if not q else 2, 6)))
+            return f"{pick(['password', 'passphrase', 'PASSWORD', 'passwd', 'secret', 'wifi_password'])}{pick([' = ', '=']) if not q else sep}{q}", value, q or "\n"
         return pick([(f"{name}{sep}{q}", value, q), (f"{name}{sep}{q}", value, q), (f"{name}{sep}{q}", value, q), (f"{pick(['', 'key ', 'use '])}{q}", issued, q), ("Authorization: Bearer ", alnum(rng.randint(24, 60)), "")])
 
     def harmless() -> tuple[str, str, str]:
         name, sep, q = pick(other_names), pick([" = ", "=", ": ", " "]), pick(['"', "", ""])
         uuid = "-".join(hexes(k) for k in (8, 4, 4, 4, 12))
+        said = lambda: " ".join(pick([pick(binding), pick(known), word()]) for _ in range(rng.randint(3, 9)))
         return pick([
+            lambda: (f"{pick(secret_names)}{pick([' = ', ': '])}\"", said() + pick(["", ".", "?"]), '"'), lambda: (f"{pick(secret_names)} = ", pick(binding) + " " + said(), "\n"),
             lambda: (f"{name}{sep}{q}", hexes(pick([32, 40, 64])), q), lambda: (f"{name}{sep}{q}", hexes(pick([32, 40, 64])), q), lambda: ("", uuid, ""), lambda: (f"{name}{sep}", uuid, ""),
             lambda: (pick(["", "see ", "/"]), "/".join(word() for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 99)) + pick([".py", ".txt", "", ".html", "/"]), ""),
             lambda: (pick(["", "https://"]), f"{word()}.{word()}.com/{word()}/{word()}-{word()}-{rng.randint(1, 9999)}", ""),
-            lambda: ("", identifier(), pick(["", "()", ";"])), lambda: ("", "_".join(pick(sorted(_DICTIONARY)) for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 9)), ""),
+            lambda: ("", identifier(), pick(["", "()", ";"])), lambda: ("", "_".join(pick(known) for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 9)), ""),
             lambda: (f"{pick(secret_names)}{pick([' = ', ': ', '='])}{q}", pick(["changeme", "your_" + pick(secret_names).lower() + "_here", "x" * rng.randint(8, 40), "*" * rng.randint(6, 20), "example", "placeholder", "<redacted>", "password", "os.environ", "config.get(key)", "${SECRET}", "process.env.TOKEN", identifier(), word() + word(), word() + "," , word() + "." + word(), prose(1) + pick(",.") ]), q),
             lambda: ("", "-".join(word() for _ in range(rng.randint(4, 7))) + "-" + str(rng.randint(1, 2030)), ""),
             lambda: (pick(["", "order ", "phone "]), str(rng.randint(10**8, 10**9)) + pick(["a", "x1", "-b"]) + str(rng.randint(10**10, 10**11)), ""), lambda: ("", (word() + word()) * 2 + str(rng.randint(1, 9)) + word() * 2, ""),
@@ -271,7 +291,7 @@ def default_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int
         label = i % 2
         before, value, after = (secret if label else harmless)()
         left, right = prose(rng.randint(0, 25)), prose(rng.randint(0, 25))
-        text = f"{left}{pick([' ', chr(10)])}{before}{value}{after}{pick([' ', chr(10), ', ', '.', '### ', '!! '])}{right}"
+        text = f"{left}{pick([' ', chr(10)])}{before}{value}{after}{pick([' ', chr(10), ', ', '.', '; ', ')'])}{right}"
         start = len(left) + 1 + len(before)
         out.append((text, start, start + len(value), label))
     return out
@@ -286,8 +306,8 @@ def holds_any(column: pa.Array) -> np.ndarray:
     """Texts in which a pattern can match at all."""
     data, at = flat(column)
     run = np.concatenate([[0], np.cumsum(_TRIGGER[data])])
-    dashes = np.asarray(pc.fill_null(pc.match_substring(column, "-----BEGIN "), False))
-    return (run[at[1:]] > run[at[:-1]]) | dashes
+    issued = np.asarray(pc.fill_null(pc.match_substring_regex(column, _ISSUED_BEGINS), False))
+    return (run[at[1:]] > run[at[:-1]]) | issued
 
 
 def findings_of(batch: pa.RecordBatch, forest: Forest, column: str = "text") -> list[list[tuple[int, int, str, float]]]:
@@ -297,7 +317,7 @@ def findings_of(batch: pa.RecordBatch, forest: Forest, column: str = "text") ->
     rows, at = [], []
     for i in np.flatnonzero(holds_any(batch.column(column))).tolist():
         for s, e, kind in candidates(texts[i]):
-            rows.append(features(texts[i], s, e))
+            rows.append(features(texts[i], s, e, forest.words))
             at.append((i, s, e, kind))
     if rows:
         for (i, s, e, kind), score in zip(at, forest.score(np.array(rows)).tolist(), strict=True):
@@ -338,10 +358,10 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
                 columns = dict(zip(names, batch.columns, strict=True)) | {text_col: pa.array(texts, pa.string())}
                 if "n_chars" in columns:
                     sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                    columns["n_chars"] = pc.if_else(pc.equal(batch.column(text_col), columns[text_col]), columns["n_chars"], sizes.cast(columns["n_chars"].type))
+                    columns["n_chars"] = pc.if_else(pc.fill_null(pc.equal(batch.column(text_col), columns[text_col]), True), columns["n_chars"], sizes.cast(columns["n_chars"].type))
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return docs.mapInArrow(go, docs.schema)
+    return map_rows(docs, go)
 
 
 @query("op10_secret_scan")

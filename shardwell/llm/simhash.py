@@ -12,6 +12,7 @@ text; an empty table gives an empty result; other columns of docs are not read.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .runtime import documents, query, text_of, width, written
 from .textkit import U64, Words, mix, pieces, runs
 
 BITS = 256
+#: Hamming radius of a search, over 64 bits.
+RADIUS = 3
 PAIR_WEIGHT, FIVE_WEIGHT = 1, 2
 _EDGE = np.array([0x51ED270B9F652295, 0xA3EC647659359ACD], U64)
 _BYTE_SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
@@ -86,15 +89,15 @@ _ROW = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fin
 _SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
 
 
-def _compare(ids: list, texts: list[str], following: list[str], bits: int, part: int) -> pa.RecordBatch:
+def _compare(ids: list, texts: list[str], own: np.ndarray, bits: int, part: int) -> pa.RecordBatch:
+    """Each text but the last against its edited form and the text after it; own: fingerprints of all."""
     import hashlib
 
-    new = [edited(a, b) for a, b in zip(texts, following, strict=True)]
-    own, changed, after = (fingerprints(pa.array(x, pa.string()), bits) for x in (texts, new, following))
-    n = len(ids)
+    new = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
+    changed, n = fingerprints(pa.array(new, pa.string()), bits), len(new)
     return pa.RecordBatch.from_arrays([
-        pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]), _strings(own), _strings(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, after)), pa.nulls(n, pa.string()),
+        pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]), _strings(own[:-1]), _strings(changed), pa.array(likeness(own[:-1], changed)), pa.array(likeness(own[:-1], own[1:])), pa.nulls(n, pa.string()),
     ], schema=_SCHEMA)
 
 
@@ -109,15 +112,16 @@ def _walk(bits: int):
         for whole in batches:
             for batch in pieces(whole):
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                own = fingerprints(batch.column("text"), bits)
                 if last is None:
                     yield edge(1, part, ids[0], texts[0])
                 else:
-                    ids, texts = [last[0], *ids], [last[1], *texts]
-                last = ids[-1], texts[-1]
+                    ids, texts, own = [last[0], *ids], [last[1], *texts], np.concatenate([last[2], own])
+                last = ids[-1], texts[-1], own[-1:]
                 if len(ids) > 1:
-                    yield _compare(ids[:-1], texts[:-1], texts[1:], bits, part)
+                    yield _compare(ids, texts, own, bits, part)
         if last is not None:
-            yield edge(2, part, *last)
+            yield edge(2, part, *last[:2])
 
     return go
 
@@ -125,7 +129,8 @@ def _walk(bits: int):
 def _seams(bits: int):
     def go(batches):
         for batch in batches:
-            yield _compare(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("next_text").to_pylist(), bits, -1)
+            for i, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
+                yield _compare([i, None], [a, b], fingerprints(pa.array([a, b]), bits), bits, -1)
 
     return go
 
@@ -147,9 +152,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     out = rows.filter("kind = 0").drop("kind", "part", "text")
     if not parts:
         return out
-    follow = F.create_map(*itertools.chain.from_iterable((F.lit(a), F.lit(b)) for a, b in zip(parts, [*parts[1:], parts[0]], strict=True)))
-    seams = lasts.withColumn("next_part", follow[F.col("part")]).join(firsts, "next_part").select("doc_id", "text", "next_text")
-    return out.unionByName(seams.mapInArrow(_seams(bits), _ROW).drop("kind", "part", "text"))
+    follow = docs.sparkSession.createDataFrame(list(zip(parts, [*parts[1:], parts[0]], strict=True)), "part int, next_part int")
+    seams = lasts.join(F.broadcast(follow), "part").join(firsts, "next_part").select("doc_id", "text", "next_text")
+    return out.unionByName(written(seams.mapInArrow(_seams(bits), _ROW), "seams").drop("kind", "part", "text"))
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
@@ -162,36 +167,53 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(go, "doc_id long, fingerprint binary")
 
 
-def within_radius(prints: DataFrame, radius: int = 3, bits: int = 64, blocks: int | None = None) -> DataFrame:
-    """All pairs of different fingerprints at most `radius` bits apart: low, high (binary), distance.
+def block_tables(prints: int, radius: int, bits: int = 64) -> tuple[list[int], list[list[int]]]:
+    """Masks of the blocks, and of each table's front as the numbers of its blocks, for so many fingerprints: the fewest blocks whose fronts leave about one fingerprint for each value."""
+    blocks = radius + 2
+    while bits * (blocks - radius) / blocks < min(math.log2(max(prints, 1)), bits - radius - 1) and blocks < bits:
+        blocks += 1
+    cuts = [round(i * bits / blocks) for i in range(blocks + 1)]
+    masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
+    return masks, [list(c) for c in itertools.combinations(range(blocks), blocks - radius)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    Permuted block tables: bits are cut into `blocks` > radius blocks; a pair within the radius agrees
-    on at least blocks - radius of them, so one table is made for each choice of that many blocks, in
-    which fingerprints are permuted to bring these blocks to the front and meet by them. Equal
-    fingerprints are taken once (their documents share the fingerprint as class id), so a large group
-    of copies gives one entry. A pair is given out by the first table in which it meets.
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All pairs of a query's fingerprint and a different one at most `radius` bits apart: asked, found (long, 64 bits), distance.
+
+    queries, prints: one long column each. Permuted block tables: bits are cut into more blocks than the
+    radius; a pair within it agrees on at least blocks - radius of them, so one table is made for each
+    choice of that many blocks, in which fingerprints meet by the bits of these blocks. Equal fingerprints
+    are taken once (their documents share the fingerprint as class id), so a large group of copies gives
+    one entry. A pair is given out by the first table in which it meets. With more fingerprints there are
+    more blocks, so that fronts stay long enough to tell fingerprints apart.
     """
-    blocks = blocks or radius + 2
-    if blocks <= radius:
-        raise ValueError("more blocks than the radius are needed")
-    cuts = [round(i * bits / blocks) for i in range(blocks + 1)]
-    own = prints.select("fingerprint").filter("fingerprint IS NOT NULL").distinct().withColumn("bin", F.lit(""))
-    word = lambda i: F.conv(F.substring(F.hex("fingerprint"), i * 16 + 1, 16), 16, 2)
-    text = F.concat(*[F.lpad(word(i), 64, "0") for i in range(bits // 64)])
-    own = own.withColumn("bin", text)
-    block = lambda side, j: F.substring(F.col(f"{side}.bin"), cuts[j] + 1, cuts[j + 1] - cuts[j])
-    choices = list(itertools.combinations(range(blocks), blocks - radius))
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.concat(*[F.substring("bin", cuts[j] + 1, cuts[j + 1] - cuts[j]) for j in c]).alias("front")) for t, c in enumerate(choices)])
-    entries = own.select("fingerprint", "bin", F.explode(tables).alias("e")).select("fingerprint", "bin", "e.t", "e.front")
-    a, b = entries.alias("a"), entries.alias("b")
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.front") == F.col("b.front")) & (F.col("a.bin") < F.col("b.bin")))
-    xor = [F.bit_count(F.conv(F.substring(F.col("a.bin"), i * 32 + 1, 32), 2, 10).cast("long").bitwiseXOR(F.conv(F.substring(F.col("b.bin"), i * 32 + 1, 32), 2, 10).cast("long"))) for i in range(bits // 32)]
-    far = sum(xor[1:], xor[0])
-    agree = F.array(*[block("a", j) == block("b", j) for j in range(blocks)])
-    first = F.coalesce(*[F.when(sum((agree[j].cast("int") for j in c), F.lit(0)) == len(c), F.lit(t)) for t, c in enumerate(choices)])
-    return met.filter((far <= radius) & (first == F.col("a.t"))).select(F.col("a.fingerprint").alias("low"), F.col("b.fingerprint").alias("high"), far.alias("distance"))
+    asked, held = (df.select(F.col(df.columns[0]).alias("fp")).filter("fp IS NOT NULL").distinct() for df in (queries, prints))
+    held = written(held, "fingerprints")
+    masks, tables = block_tables(held.count(), radius)
+    fronts = [_signed(sum(masks[j] for j in c)) for c in tables]
+    entries = lambda df, name: df.select(F.col("fp").alias(name), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("front")) for t, m in enumerate(fronts)])).alias("e")).select(name, "e.t", "e.front")
+    differ = F.col("asked").bitwiseXOR(F.col("found"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(fronts)])
+    a, b = entries(asked, "asked").alias("a"), entries(held, "found").alias("b")
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.front") == F.col("b.front")) & (F.bit_count(differ) <= radius) & (F.col("asked") != F.col("found")) & (first == F.col("a.t")))
+    return met.select("asked", "found", F.bit_count(differ).alias("distance"))
+
+
+def near_counts(out: DataFrame, asked) -> DataFrame:
+    """out with `near_fingerprints`: for rows that are asked for, how many other fingerprints of the table are within RADIUS bits of the first 64 of theirs; null for other rows."""
+    print_of = F.conv(F.substring("fingerprint", 1, 16), 16, -10).cast("long")
+    asked = F.coalesce(asked, F.lit(False))
+    own = out.filter(asked).withColumn("asked", print_of)
+    found = within_radius(own.select("asked"), out.select(print_of)).groupBy("asked").agg(F.count(F.lit(1)).alias("n"))
+    own = own.join(found, "asked", "left").withColumn("near_fingerprints", F.coalesce("n", F.lit(0))).drop("asked", "n")
+    return own.unionByName(out.filter(~asked).withColumn("near_fingerprints", F.lit(None).cast("long")))
 
 
 @query("op1_simhash")
 def op1_simhash(spark, sf_dir):
-    return with_next(documents(spark, sf_dir))
+    """Rows whose id is divisible by 50 are queries against all rows' fingerprints."""
+    return near_counts(with_next(documents(spark, sf_dir)), F.col("doc_id") % 50 == 0)

@@ -1,10 +1,11 @@
+import math
 import random
 import string
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import odd_rows
+
 
 from shardwell.llm import language_id, secret_scan
 
@@ -26,6 +27,39 @@ def test_language_of_held_out_texts(spark, odd, none):
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"} and language_id.predict(none, model).collect() == []
 
 
+def test_more_labels_than_a_task_holds_and_ties(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}rd " * 3, f"l{i:04d}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = language_id.train(df.coalesce(1)), language_id.train(df.repartition(3))
+    assert one.langs == many.langs == sorted(r[2] for r in rows) and (one.weights == many.weights).all()
+    same = language_id.train(spark.createDataFrame([(0, "one text", "bb"), (1, "one text", "aa"), (2, "one text", "cc")], "doc_id long, text string, lang string"))
+    assert same.predict(["one text", "other", ""])[0] == ["aa", "aa", "und"]  # ties go to the first in the alphabet
+
+
+def test_log_probabilities_by_hand(spark):
+    """Counts, smoothing, sums and scores again in plain Python."""
+    texts = [("aa", "ab ab"), ("aa", "b"), ("bb", "cab c")]
+    model = language_id.train(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string"))
+    counts = {}
+    for k, t in texts:
+        for g in language_id.grams([t])[0].tolist():
+            counts.setdefault(k, {}).setdefault(g, 0)
+            counts[k][g] += 1
+    weight = lambda k, g: math.log((counts[k].get(g, 0) + language_id.SMOOTHING) / (sum(counts[k].values()) + language_id.SMOOTHING * language_id.BUCKETS))
+    for text in ("abc", "c", "cab ab b", "zz"):
+        g = language_id.grams([text])[0].tolist()
+        total = [sum(weight(k, x) for x in g) * min(1, language_id.EVIDENCE / len(g)) for k in ("aa", "bb")]
+        (lang,), (score,) = model.predict([text])
+        assert lang == ("aa" if total[0] >= total[1] else "bb") and abs(score - 1 / sum(math.exp(t - max(total)) for t in total)) < 1e-4
+
+
+def test_certain_rows_keep_their_columns(spark):
+    model = language_id.train(spark.createDataFrame([(0, "the one and other", "en"), (1, "der und die", "de")], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(1, "the other one", "mine", 0.25, "dot"), (2, "123", "mine", 0.5, "dot"), (3, None, None, None, None)], "doc_id long, text string, lang_pred string, lang_score double, `a.b` string")
+    assert [tuple(r) for r in language_id.keep_certain(df, model, 0.3).collect()] == [(1, "the other one", "mine", 0.25, "dot")]
+    assert language_id.predict(df, model).columns == ["doc_id", "text", "a.b", "lang_pred", "lang_score"]
+
+
 def test_grams_are_those_of_the_folded_text():
     texts = ["Ab c", "", "É1é", "!!"]
     bucket, row, has = language_id.grams(texts)
@@ -72,9 +106,13 @@ def test_scan_and_redact(spark, odd, none, forest):
 
 
 def test_texts_without_a_trigger_are_left_out():
-    texts = ["no sign", None, "a=b", "x1", "-----BEGIN PRIVATE KEY-----", string.ascii_letters]
-    assert secret_scan.holds_any(pa.array(texts)).tolist() == [False, False, True, True, True, False]
-    assert len(odd_rows()) > 40
+    texts = ["no sign", None, "a=b", "x1", "-----BEGIN PRIVATE KEY-----", string.ascii_letters, "ghp_" + string.ascii_letters[:36]]
+    assert secret_scan.holds_any(pa.array(texts)).tolist() == [False, False, True, True, True, False, True]
+    letters = string.ascii_letters
+    rng = random.Random(3)
+    bare = [f"some words {a}{''.join(rng.choices(letters, k=40))} more" for a in ("AKIA", "ghp_", "ghr_", "sk-", "xoxb-", "eyJ")] + [f"x eyJ{letters[:20]}.{letters[:20]}.{letters[:20]}", "password = correct horse battery staple", "a plain text"]
+    assert all(h or not secret_scan.candidates(t) for t, h in zip(bare, secret_scan.holds_any(pa.array(bare)), strict=True))
+    assert secret_scan.candidates(bare[1]) and secret_scan.candidates(bare[6])
 
 
 def test_planted_secrets_become_candidates(forest):
@@ -94,6 +132,26 @@ def test_planted_secrets_become_candidates(forest):
     assert [t for t in ("token=" * 100_000, "token=" + ",;" * 100_000) if len(secret_scan.candidates(t)) > 100_000] == []
 
 
+def test_passphrases_of_several_words(forest):
+    for text in ("password = correct horse battery staple", 'password: "correct horse battery staple",', "x\npassphrase=stone window seven rivers\nmore"):
+        (s, e, kind), *rest = secret_scan.candidates(text)
+        assert kind == "assigned" and not rest and text[s:e].count(" ") == 3
+        assert forest.score(np.array([secret_scan.features(text, s, e)]))[0] >= 0.5
+    for text in ('password: "that must be in the file"', "secret = the one that you are to set for this"):
+        for s, e, _ in secret_scan.candidates(text):
+            assert forest.score(np.array([secret_scan.features(text, s, e)]))[0] < 0.5, text
+
+
+def test_redaction_leaves_null_texts_and_repeated_rows_as_they_are(spark, forest):
+    key = "".join(random.Random(1).choices("0123456789abcdef", k=40))
+    rows = [(1, None, 5), (1, None, None), (None, f'token = "{key}"', 50), (2, f'token = "{key}"', None), (2, f'token = "{key}"', None), (3, "plain", 99)]
+    got = secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), forest).collect()
+    cleaned = f'token = "{secret_scan.MARK}"'
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, None, 5), (1, None, None), (None, cleaned, len(cleaned)), (2, cleaned, len(cleaned)), (2, cleaned, len(cleaned)), (3, "plain", 99)]))
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), forest).filter("secret").collect()
+    assert sorted(str(r.doc_id) for r in found) == ["2", "2", "None"]
+
+
 def test_a_private_key_is_one_finding_to_its_end(forest):
     rng = random.Random(10)
     for kind in ("RSA ", "", "OPENSSH "):

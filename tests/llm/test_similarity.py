@@ -1,11 +1,14 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest_llm import odd_rows, prose
+from pyspark.sql import functions as F
 
 from shardwell.llm import jaccard_join, simhash, substring_dedup
 from shardwell.llm.components import components
@@ -38,6 +41,10 @@ def test_next_and_edited_texts(odd, none):
                 f = simhash.fingerprints(pa.array([text[a], new, text[b]]))
                 assert [by_id[a].near_edited, by_id[a].near_next] == [simhash.likeness(f[:1], f[k : k + 1])[0] for k in (1, 2)]
     assert simhash.with_next(none).collect() == []
+    counted = simhash.near_counts(simhash.with_next(odd), F.col("doc_id") % 5 == 0).collect()
+    numbers = {int(r.fingerprint[:16], 16) for r in counted}
+    assert len(counted) == len(rows) and all((r.near_fingerprints is None) == (r.doc_id is None or r.doc_id % 5 != 0) for r in counted)
+    assert all(r.near_fingerprints == sum(0 < (n ^ int(r.fingerprint[:16], 16)).bit_count() <= 3 for n in numbers) for r in counted if r.near_fingerprints is not None)
     one = simhash.with_next(odd.filter("doc_id = 1")).collect()
     assert len(one) == 1 and one[0].near_edited <= 1 and one[0].near_next == 1
 
@@ -50,11 +57,46 @@ def test_all_pairs_within_the_radius(spark):
         row[rng.choice(64, rng.integers(0, 6), replace=False)] ^= 1
     bits = np.unique(np.concatenate([base, near, base[:5]]), axis=0)
     prints = [np.packbits(b).tobytes() for b in bits]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate([*prints, prints[0], None])], "doc_id long, fingerprint binary")
-    for radius, blocks in ((3, None), (3, 4), (1, 4), (5, 7)):
-        want = {(min(prints[i], prints[j]), max(prints[i], prints[j]), int((bits[i] != bits[j]).sum())) for i, j in itertools.combinations(range(len(bits)), 2) if (bits[i] != bits[j]).sum() <= radius}
-        got = simhash.within_radius(df, radius, 64, blocks).collect()
-        assert len(got) == len(want) and {(bytes(r.low), bytes(r.high), r.distance) for r in got} == want
+    numbers = [int.from_bytes(p, "big", signed=True) for p in prints]
+    df = spark.createDataFrame([(n,) for n in [*numbers, numbers[0], None]], "fp long")
+    for radius in (0, 1, 3, 5):
+        want = {(numbers[i], numbers[j], int((bits[i] != bits[j]).sum())) for i, j in itertools.permutations(range(len(bits)), 2) if 0 < (bits[i] != bits[j]).sum() <= radius}
+        got = simhash.within_radius(df, df, radius).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    some = df.filter(F.col("fp") % 3 == 0)
+    got = simhash.within_radius(some, df, 3).collect()
+    want = {(numbers[i], numbers[j]) for i, j in itertools.permutations(range(len(bits)), 2) if (bits[i] != bits[j]).sum() <= 3 and abs(numbers[i]) % 3 == 0}
+    assert {(r.asked, r.found) for r in got} == want
+    assert simhash.within_radius(df.filter("false"), df.filter("false")).collect() == []
+
+
+@pytest.mark.parametrize("prints", [1, 10**5, 10**8, 10**10, 10**12, 10**18])
+def test_block_tables_of_any_size_find_all(prints):
+    masks, tables = simhash.block_tables(prints, 3)
+    assert sum(masks) == (1 << 64) - 1 and len(tables) == math.comb(len(masks), 3)
+    rng = random.Random(prints)
+    for _ in range(200):
+        differ = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(not differ & sum(masks[j] for j in c) for c in tables)
+
+
+def test_fingerprints_against_votes_by_hand():
+    """Bits recomputed term by term from the terms' hashes."""
+    texts = ["one two three four five six seven", "one", "a b a b a b", "", "The the THE"]
+    got = simhash.fingerprints(pa.array(texts), 64)
+    words = simhash.Words(pa.array(texts))
+    pairs, pair_of = simhash._pairs(words)
+    fives, five_of = simhash.runs(words, 5)
+    for i in range(len(texts)):
+        total = [0] * 64
+        for terms, of, weight in ((pairs, pair_of, simhash.PAIR_WEIGHT), (fives, five_of, simhash.FIVE_WEIGHT)):
+            for h in simhash.mix(terms[of == i]).tolist():
+                for byte in range(8):
+                    for bit in range(8):
+                        total[8 * byte + bit] += weight if h >> (8 * byte) >> (7 - bit) & 1 else -weight
+        assert np.unpackbits(got[i]).tolist() == [int(t > 0) for t in total]
+        n = len(words_of(texts[i]))
+        assert (pair_of == i).sum() == (n + 1 if n else 0) and (five_of == i).sum() == max(0, n - 4)
 
 
 def brute_components(rows):

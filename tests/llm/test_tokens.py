@@ -32,6 +32,29 @@ def test_word_encoder_gives_the_librarys_ids(monkeypatch):
             assert [ids[e - n : e].tolist() for e, n in zip(edge, per, strict=True)] == [x + [7] for x in library(part)]
 
 
+def thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_words_that_defeat_polynomials_get_their_own_ids(monkeypatch):
+    from shardwell.llm import jaccard_join, simhash, tokens
+
+    encoder = WordEncoder(default_tokenizer())
+    for n in (8, 64, 1024, 2048, 4096):
+        texts = [thue_morse(n, "a", "b"), thue_morse(n, "b", "a")]
+        ids, per = encoder.encode(pa.array(texts), 7)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == [x + [7] for x in library(texts)]
+        sets = jaccard_join.shingle_sets(pa.array([t + " b c d e f" for t in texts]))
+        assert not set(sets[0].tolist()) >= set(sets[1].tolist())
+        prints = simhash.fingerprints(pa.array([f"{t} x {t}" for t in texts]))
+        assert (prints[0] != prints[1]).any()
+    # were all hashes the same, bytes would still tell words apart
+    monkeypatch.setattr(tokens, "span_hash", lambda data, start, end: np.full(len(start), 5, np.uint64))
+    texts = ["the cat sat", "on the mat abc", "hello international internationam", thue_morse(90, "a", "b"), thue_morse(90, "b", "a")]
+    ids, per = WordEncoder(default_tokenizer()).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == library(texts)
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 300, 49408, 70000])
 def test_range_coder_round_trips(size):
     rng = np.random.default_rng(size)
@@ -105,6 +128,22 @@ def test_pieces_cover_all_ids_without_padding(spark, odd, none):
     assert packing.pack(none).collect() == []
 
 
+def test_combinations_are_all_pairs_and_triples():
+    rng = np.random.default_rng(8)
+    h = np.zeros(64, np.int64)
+    h[rng.choice(np.arange(1, 64), 30, replace=False)] = 5
+    there = np.flatnonzero(h).tolist()
+    want = {(0, a, b) for a in there for b in there if a <= b and a + b == 64} | {(a, b, c) for a in there for b in there for c in there if a <= b <= c and a + b + c == 64}
+    got = [tuple(sorted(c)) for c in packing.combinations(h, 64).tolist()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_shares_of_many_shards_add_up_to_the_plan():
+    counts = np.array([0, 1, 3, 40, 1000, 7])
+    total = sum(packing.shares(counts, 1 / 500, s) for s in range(500))
+    assert (np.abs(total - counts) <= 4 * np.sqrt(counts)).all() and total.sum() > 0.9 * counts.sum()
+
+
 def test_plan_uses_what_the_histogram_holds():
     rng = np.random.default_rng(3)
     h = np.zeros(64, np.int64)
@@ -122,7 +161,8 @@ def test_plan_uses_what_the_histogram_holds():
     assert np.abs(grad[x > 1]).max() < 2 and grad.min() > -2
     sizes = rng.integers(1, 400, 500)
     h = np.bincount(sizes % 64, minlength=64)
-    rows = list(packing.arrange(sizes, *packing.plan(h, 64), 1.0, 64))
+    combos, counts = packing.plan(h, 64)
+    rows = list(packing.arrange(sizes, combos, packing.shares(counts, 1.0, 0), 64))
     fill = {}
     for d, s, n, q, o in rows:
         assert fill.get(q, 0) == o
