@@ -24,17 +24,19 @@ their own; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .asked import asked_table, holds
 from .components import components
-from .runtime import documents, query, text_of, width, written
+from .runtime import documents, map_rows, query, text_of, width, written
 from .textkit import U64, Words, binary16, lists_of, mix, pieces, runs, unlisted
 
 SHINGLE, PERCENT = 5, 80
@@ -94,8 +96,11 @@ def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+_SETS = "doc_id long, mark long, other long, n long, k1 long, cid binary, digest binary, part int, salt int, counts binary"
+
+
 def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("cid", pa.binary()), ("digest", pa.binary()), ("part", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("cid", pa.binary()), ("digest", pa.binary()), ("part", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
     def go(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -106,11 +111,11 @@ def _sets(k: int):
                 np.add.at(sketch, (np.concatenate([np.zeros(0, U64), *sets]) >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 n = batch.num_rows
                 digests = pa.array([digest(s).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(k1), binary16(k1, k2), digests, *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(pa.int64()) for c in ("doc_id", "mark", "other")), pa.array(size), pa.array(k1), binary16(k1, k2), digests, *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))], schema=schema)
         if sketch.any():
             salt = TaskContext.get().partitionId() >> 8
             for p, x in enumerate(np.split(sketch, SKETCH_PARTS)):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:5]), pa.array([p], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:7]), pa.array([p], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], schema=schema)
 
     return go
 
@@ -382,12 +387,11 @@ def _cross(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return cross.select(F.least("cid", "cid_b").alias("x"), F.greatest("cid", "cid_b").alias("y")).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    both = written(base.mapInArrow(_sets(k), "doc_id long, n long, k1 long, cid binary, digest binary, part int, salt int, counts binary"), "sets")
-    sets = both.filter("part IS NULL").select("doc_id", "n", "k1", "cid", "digest")
+def _placed(base: DataFrame, k: int, percent: int) -> DataFrame:
+    """base: doc_id, text, mark, other. One row for each of its rows: doc_id, mark, other, n (set size), label (of its component, or of its class)."""
+    spark = base.sparkSession
+    both = written(base.mapInArrow(_sets(k), _SETS), "sets")
+    sets = both.filter("part IS NULL").select("doc_id", "mark", "other", "n", "k1", "cid", "digest")
     order = global_order(both.filter("part IS NOT NULL").select("part", "salt", "counts"), sets.agg(F.sum("n")).first()[0] or 0)
     order = spark.sparkContext.broadcast(order)
     classes = written(sets.filter("n > 0").dropDuplicates(["cid"]).select("k1", "cid", "n", "digest"), "classes")
@@ -402,13 +406,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = _tried(_cross(met, labels, percent).join(tried, ["x", "y"], "left_anti"), classes, percent, "cross-pairs")
     if not cross.isEmpty():
         labels = components(links.select("a", "b").union(verified(cross, base, order, k, percent).select("a", "b")))
-    placed = written(sets.join(labels, F.col("cid") == F.col("v"), "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label")), "placed")
+    return written(sets.join(labels, F.col("cid") == F.col("v"), "left").select("doc_id", "mark", "other", "n", F.coalesce("label", "cid").alias("label")), "placed")
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """mark and other tell rows apart by id and text."""
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), text_of(f"`{text_col}`")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("mark"), F.xxhash64(F.lit(1), text).alias("other"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    placed = _placed(_base(docs, id_col, text_col), k, percent)
     # written, so that the join's sides are plain exchanges and a label with very many rows can be split over tasks
     lowest = written(placed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("lowest")), "lowest")
     out = placed.filter("n > 0").join(lowest, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("lowest").alias("component_id"))
     return out.unionByName(placed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, all columns as they were: that of the smallest id, null ids last, then by a hash of the text; of rows that repeat id and text, one. Rows without words all stay.
+
+    Rows are told by id and text, so null and repeated ids do no harm. Only rows of components with several rows are shuffled.
+    """
+    spark = docs.sparkSession
+    placed = _placed(_base(docs, id_col, text_col), k, percent).filter("n > 0")
+    several = written(placed.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "other")).alias("first")).filter("m > 1"), "several")
+    met = written(placed.join(several, "label").select("mark", "other", ((F.col("mark") == F.col("first.mark")) & (F.col("other") == F.col("first.other"))).alias("stays")).distinct(), "met")
+    table = spark.sparkContext.broadcast(asked_table(met.select("mark")))
+    names, mark = docs.columns, f"mark-{uuid.uuid4().hex}"
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), text_of(f"`{text_col}`")
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(doc_id, text).alias(mark))
+
+    def part(inside: bool) -> DataFrame:
+        def go(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(holds(table.value, np.asarray(batch.column(mark))) == inside))
+
+        return map_rows(marked, go)
+
+    own = part(True).withColumns({f"{mark}-2": F.xxhash64(F.lit(1), text), f"{mark}-row": F.struct(*[F.col(f"`{c}`") for c in names])}).select(F.col(f"`{mark}`").alias("mark"), F.col(f"`{mark}-2`").alias("other"), F.col(f"`{mark}-row`").alias("row"))
+    joined = own.join(met, ["mark", "other"], "left")
+    nth = F.row_number().over(W.partitionBy("mark", "other").orderBy(F.lit(0)))
+    kept = joined.withColumn("nth", F.when(F.col("stays"), nth).otherwise(1)).filter("nth = 1 AND coalesce(stays, true)").select("row.*")
+    return part(False).select(*[F.col(f"`{c}`") for c in names]).union(kept)
+
+
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir))
