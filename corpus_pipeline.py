@@ -6,8 +6,9 @@ and packing lays what is left into windows of tokens. All stages but the last re
 documents.
 
 Rows: a document that is rejected, or is a copy, is gone for the later stages. In a group of near
-duplicates the row with the component's smallest doc_id stays; if rows repeat that doc_id after exact
-dedup, those with different texts stay each. The packing stage returns one row for each piece.
+duplicates the row with the component's smallest doc_id stays (null ids last; of rows that share it,
+one by a hash of the text). Rows are told by id and text, so null and repeated ids do no harm. The
+packing stage returns one row for each piece.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
     model = language_id.train(docs.filter(language_id.fold(F.col("doc_id")) != 1).select("text", "lang"))
-    kept = language_id.predict(docs, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    return language_id.keep_certain(docs, model, LEAST_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
-    groups = jaccard_join.jaccard_components(docs)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stays"]), "left_semi")
+    return jaccard_join.keep_one(docs)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
