@@ -227,6 +227,9 @@ def test_segment_handles_all_texts(odd, none):
     assert len(got) == len(odd_rows()) and all(r.round_trip and r.n_pieces == len(r.ids) and r.ids_crc32 == crc(r.ids) for r in got)
     p = sentence_pieces.Pieces.load(sentence_pieces.default_model())
     assert all(p.decode(r.ids) in texts[r.doc_id] for r in got)
+    assert all(len(r.n_best_ids) == r.n_best and [len(i) for i in r.n_best_ids] == r.n_best_pieces and crc(r.n_best_ids[0]) == r.best_ids_crc32 and len({tuple(i) for i in r.n_best_ids}) == r.n_best for r in got)
+    assert all(p.decode(i) in texts[r.doc_id] for r in got for i in r.n_best_ids)
+    assert all(r.best_is_encoding == (r.ids == r.n_best_ids[0]) for r in got)
     assert all(r.n_best_scores == sorted(r.n_best_scores, reverse=True) and r.n_best == len(r.n_best_scores) and abs(r.n_best_scores[0] - r.best_score) < 1e-3 for r in got)
     assert sentence_pieces.segment(none).collect() == []
     assert p.nbest("", 3) == [(0.0, [])]
