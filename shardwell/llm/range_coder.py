@@ -6,9 +6,10 @@ range coders of their own over models they share. One step is a handful of numpy
 lanes.
 
 Predictions: order 2 and order 1 each name the id last seen after their context, with a confidence
-of 0 to 7. An algebraic-sigmoid mixer turns both confidences and whether they agree into the odds of
-"order 2 is right", "order 1 is right" and "neither"; hit counts by confidence and the mixer's
-weights adapt as the block goes on. "Neither" falls to order 0: adaptive frequencies of ids seen so
+of 0 to 7; order 0 tells how frequent the id that order 2 names has been, in four levels. An
+algebraic-sigmoid mixer turns these three and whether the orders agree into the odds of "order 2 is
+right", "order 1 is right" and "neither"; hit counts by confidence and level and the mixer's weights
+adapt as the block goes on. After "neither" order 0 codes the id: adaptive frequencies of ids seen so
 far with an escape to a plain id. Only +, -, x, / and square roots are used, all exact in IEEE
 arithmetic, so any machine reads what another wrote.
 
@@ -23,14 +24,15 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 MOST_LANES, LANE_IDS = 4096, 64
 HASH_BITS, TOP_CONFIDENCE = 18, 7
 REFRESH = 16
 _U, _32 = np.uint64, np.uint64(32)
 _WORD = _U(0xFFFFFFFF)
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
-_STATES = 2 * 8 * 8
+_LEVELS = 4
+_STATES = _LEVELS * 2 * 8 * 8
 
 
 def _stretch(p):
@@ -55,19 +57,22 @@ class Models:
         start = np.arange(8, dtype=np.float64)
         self.hits = np.stack([0.2 + start, 2.0 + 0 * start], 1)  # right, wrong by confidence, order 2
         self.hits_first = self.hits.copy()
-        self.weights = np.array([[0.6, 0.3, 0.0], [0.7, 0.5, 0.0]])  # apart, agreeing
+        self.hits_zero = np.stack([0.5 + 0.5 * np.arange(_LEVELS), 2.0 + 0 * np.arange(_LEVELS)], 1)  # by order 0's level of what order 2 names
+        self.level = np.zeros(size, np.int32)
+        self.weights = np.array([[0.6, 0.3, 0.0, 0.0], [0.7, 0.5, 0.0, 0.0]])  # apart, agreeing
         self.held: list[np.ndarray] = []
         self.refresh()
 
     def refresh(self) -> None:
         """Take in what was coded since the last time."""
         k = np.arange(_STATES)
-        agree, k2, k1 = k >> 6, (k >> 3) & 7, k & 7
+        level, agree, k2, k1 = k >> 7, (k >> 6) & 1, (k >> 3) & 7, k & 7
         e = self.events.astype(np.float64)
         right2 = self.hits[:, 0] / self.hits.sum(1)
         right1 = self.hits_first[:, 0] / self.hits_first.sum(1)
-        s2, s1 = _stretch(np.clip(right2, 0.001, 0.999))[k2], _stretch(np.clip(right1, 0.001, 0.999))[k1]
-        inputs = np.stack([s2, np.where(agree == 1, s1, -s1), np.ones(_STATES)], 1)
+        right0 = self.hits_zero[:, 0] / self.hits_zero.sum(1)
+        s2, s1, s0 = (_stretch(np.clip(r, 0.001, 0.999))[c] for r, c in ((right2, k2), (right1, k1), (right0, level)))
+        inputs = np.stack([s2, np.where(agree == 1, s1, -s1), s0, np.ones(_STATES)], 1)
         n = e.sum(1)
         if n.any():
             p = _squash((self.weights[agree] * inputs).sum(1))
@@ -78,6 +83,8 @@ class Models:
                 self.hits[c] = self.hits[c] * 0.9 + [e[k2 == c, 0].sum(), e[k2 == c, 1:].sum()]
                 apart = (k1 == c) & (agree == 0)
                 self.hits_first[c] = self.hits_first[c] * 0.9 + [e[apart, 1].sum() + e[(k1 == c) & (agree == 1), 0].sum(), e[apart, 2].sum() + e[(k1 == c) & (agree == 1), 2].sum()]
+            for c in range(_LEVELS):
+                self.hits_zero[c] = self.hits_zero[c] * 0.9 + [e[level == c, 0].sum(), e[level == c, 1:].sum()]
             self.events[:] = 0
         p2 = np.clip(_squash((self.weights[agree] * inputs).sum(1)), 0.0005, 0.995)
         p1 = np.where(agree == 1, 0.0, np.clip(right1, 0.001, 0.99)[k1])
@@ -97,6 +104,7 @@ class Models:
         self.id_low = (edge - share).astype(_U)
         self.escape_low = int(edge[-1])
         self.id_of = None
+        self.level = there.astype(np.int32) + (self.seen * 1024 > most) + (self.seen * 64 > most)
 
     def lookup(self) -> np.ndarray:
         """Id at each point of the order-0 interval; `size` for the escape. Only readers need it."""
@@ -111,7 +119,7 @@ class Models:
         slot = (last.astype(np.uint32) * np.uint32(0x9E3779B1) + before.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS)
         two, one = self.second[slot], self.first[last]
         g2, g1, k2, k1 = two >> 3, one >> 3, two & 7, one & 7
-        return ((g1 == g2) * np.int32(64) + k2 * 8 + k1), g2, g1, (slot, two, k2, last, one, k1)
+        return self.level[g2] * np.int32(128) + (g1 == g2) * np.int32(64) + k2 * 8 + k1, g2, g1, (slot, two, k2, last, one, k1)
 
     def update(self, n: int, ids: np.ndarray, event: np.ndarray, state: np.ndarray, g2: np.ndarray, g1: np.ndarray, kept) -> None:
         slot, two, k2, last, one, k1 = kept

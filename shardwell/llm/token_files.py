@@ -156,20 +156,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Every block is decoded and its checksum tested."""
     prepare(spark)
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    total, starts = 0, {}
+    total, starts = 0, []
     for row in files.groupBy("part").agg(F.sum("n_ids").alias("ids")).orderBy("part").collect():  # one row for each part
-        starts[row["part"]] = total
+        starts.append((row["part"], total))
         total += row["ids"]
     found = written(files.select("part", "block", "before", "data").mapInArrow(_reader, _PIECE), "read-ids")
-    begin = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.create_map(F.lit(-1), F.lit(0))
+    begin = F.broadcast(spark.createDataFrame(starts, "part int, begin long"))  # two numbers for each part
     cut = F.col("goes_on") | F.col("last")  # may be part of a longer document
     single = found.filter(~cut).select("doc_id", "at", F.col("ids_here").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "part")
     w = W.partitionBy("part").orderBy("block", "nth")
     grouped = found.filter(cut).withColumn("n", F.sum((~F.col("goes_on")).cast("int")).over(w))
     joined = grouped.groupBy("part", "n").agg(F.array_sort(F.collect_list(F.struct("block", "ids_here", "crc"))).alias("pieces"), F.min("at").alias("at"), F.first("doc_id").alias("doc_id"))
     whole = joined.mapInArrow(_joined, "doc_id long, at long, n_tokens long, ids_crc32 long, part int")
-    both = single.unionByName(whole)
-    return both.select("doc_id", (F.col("at") + begin[F.col("part")].cast("long")).alias("start"), "n_tokens", "ids_crc32")
+    both = single.unionByName(whole).join(begin, "part")
+    return both.select("doc_id", (F.col("at") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 
 @query("op4_token_files")
