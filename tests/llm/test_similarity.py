@@ -315,3 +315,28 @@ def test_common_passages_link_all_their_texts(spark):
     for i, w in texts.items():
         for p in range(len(w) - 49):
             assert len(windows[tuple(w[p : p + 50])]) < 2 or covered[i] >= set(range(p, p + 50)), (i, p)
+
+
+def test_edited_passages_whose_seeds_are_common_elsewhere(spark):
+    """Two texts share an edited passage; each third of it stands in many other texts too."""
+    rng = random.Random(14)
+    thirds = [fresh_words(rng, 30) for _ in range(3)]
+    one = [w for t in thirds for w in t]
+    two = ["changed" if n in (14, 44, 75) else w for n, w in enumerate(one)]
+    rows = [(0, " ".join(fresh_words(rng, 20) + one)), (1, " ".join(two + fresh_words(rng, 20)))]
+    rows += [(2 + 20 * k + i, " ".join(fresh_words(rng, 40) + t + fresh_words(rng, 40))) for k, t in enumerate(thirds) for i in range(20)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((0, 1))} and got[0].matched_words >= 85
+
+
+def test_links_of_a_group():
+    """Each with each in small groups; in larger ones with the first, and again within those that go on alike."""
+    key, pos = np.arange(10, dtype=np.int64) + 100, np.zeros(10, np.int32)
+    one = np.ones(10, np.uint64)
+    few = lambda *going, n: {(int(a), int(b)) for a, b in zip(*substring_dedup.links(one[:n], key[:n], pos[:n], *(np.array(g[:n]) for g in going), few=4)[:2], strict=True)}
+    assert few(n=4) == {(a, b) for a in range(100, 104) for b in range(100, a)}
+    assert few(n=10) == {(a, 100) for a in range(101, 110)}
+    going = [0, 0, 0, 0, 0, 7, 7, 7, 8, 8]
+    assert few(going, n=10) == {(a, 100) for a in range(101, 110)} | {(106, 105), (107, 105), (107, 106), (109, 108)}
+    deep = [7] * 10, [1, 1, 1, 1, 1, 1, 1, 1, 5, 5]
+    assert few(*deep, n=10) == {(a, 100) for a in range(101, 110)} | {(109, 108)}
