@@ -45,7 +45,7 @@ FRAGMENTS = 8
 #: Bits of a digest, by the size of its set.
 LEAST_DIGEST, MOST_DIGEST = 64, 1 << 16
 #: Postings that a task holds and lets meet before it gives them out.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Members of a hub whose segments meet the hub's in one group.
 GROUP = 512
 _CLASS_SHIFT = U64(57)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -19,6 +22,21 @@ _LOADS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 LONG_SPAN = 64
 
 
+def give_back() -> None:
+    """In a Python worker, let freed memory go back to the system: workers wait between tasks and stages, and several share an executor's memory."""
+    if TaskContext.get() is None:
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no mallopt
+        for option, value in _MALLOC.items():
+            ctypes.CDLL(None).mallopt(option, value)
+
+
+#: glibc's numbers of M_MMAP_THRESHOLD, M_TRIM_THRESHOLD and M_ARENA_MAX.
+_MALLOC = {-3: 2 << 20, -1: 8 << 20, -8: 2}
+give_back()
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `most` bytes of text; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

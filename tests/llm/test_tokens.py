@@ -246,3 +246,29 @@ def test_segment_gives_the_encoding_of_the_models_own_kind(spark):
     for r in got:
         want = sp.encode(texts[r.doc_id])
         assert r.ids == want and r.n_pieces == len(want) and r.ids_crc32 == crc(want) and r.round_trip
+
+
+def test_many_atoms_at_once_give_what_the_search_gives():
+    p = sentence_pieces.Pieces(sentence_pieces.default_model())
+    rng = random.Random(22)
+    texts = [prose(rng, 300), *("".join(rng.choices(["the", "ing", "a", "b", "e", "é", " ", ".", "1", "st", "ation"], k=rng.randint(1, 30))) for _ in range(400))]
+    atoms = [a for a in dict.fromkeys(p.atoms(texts)[0]) if len(a) <= 64 and all(c in p.vocab for c in a)]
+    ids, sizes, best, gap = p.viterbi(atoms)
+    told = 0
+    for atom, path, b, g in zip(atoms, np.split(ids, np.cumsum(sizes)[:-1]), best.tolist(), gap.tolist(), strict=True):
+        found = p.search(atom, 2)
+        assert abs(found[0][0] - b) < 1e-6 and (len(found) == 1 and g == np.inf or abs(found[0][0] - found[1][0] - g) < 1e-6), atom
+        if g > 1e-6:
+            assert found[0][1] == path.tolist(), atom
+            told += 1
+    assert told > 0.5 * len(atoms) > 100
+
+
+def test_memory_starts_afresh(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", 20)
+    p = sentence_pieces.Pieces(sentence_pieces.default_model())
+    texts = [prose(random.Random(n), 30) + " é😀\n" for n in range(12)]
+    for _ in range(2):
+        for t in texts:
+            (_, _, _, _, its, back), = p.encode([t])
+            assert its.tolist() == p.library.encode(t) and back
