@@ -72,12 +72,13 @@ _MODULES = "os logging argparse datetime collections subprocess shutil pathlib s
 
 @cache
 def dictionary() -> frozenset[str]:
-    """Words of identifiers and descriptions: names in modules of the standard library and in their classes, and words that stand at least twice in their docstrings."""
+    """Words of identifiers and descriptions: public names that modules of the standard library define, names in their classes, and words that stand at least twice in the docstrings of both."""
     names, told = set(), Counter()
     for m in map(importlib.import_module, _MODULES):
-        for thing in [m, *(v for k, v in vars(m).items() if not k.startswith("_") and callable(v))]:
+        own = {k: v for k, v in vars(m).items() if not k.startswith("_") and callable(v) and getattr(v, "__module__", "") == m.__name__}
+        for thing in [m, *own.values()]:
             told.update(w.lower() for w in re.findall(r"[A-Za-z]{3,}", str(getattr(thing, "__doc__", None) or "")))
-            names |= set(dir(thing))
+        names |= own.keys() | {n for v in own.values() if isinstance(v, type) for n in vars(v)}
     split = {w.lower() for n in names for w in re.findall(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}", n)}
     return frozenset(w for w in split | {w for w, n in told.items() if n > 1} if len(w) > 2)
 
@@ -264,6 +265,8 @@ def default_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int
         value = pick([lambda: hexes(pick([32, 40, 64, 48])), lambda: alnum(rng.randint(16, 64)), lambda: alnum(rng.randint(27, 60)) + "=", lambda: alnum(rng.randint(8, 14)) + pick("!#$%"), lambda: hexes(pick([32, 40, 64]))])()
         issued = pick(["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), "ghp_" + alnum(36), "sk-" + alnum(40), "xoxb-" + alnum(24), "eyJ" + alnum(20) + "." + alnum(30) + "." + alnum(30)])
         name, sep, q = pick(secret_names), pick([" = ", "=", ": ", ":", " => "]), pick(['"', "'", "", "`"])
+        if rng.random() < 0.12:
+            return f"{pick(['the secret is', 'my api key', 'use token', 'the password is', 'private key', 'login with the token', 'credential', 'access key'])} ", pick([alnum(rng.randint(24, 64)) + str(rng.randint(0, 9)), hexes(pick([40, 64]))]), pick(["", ".", ","])
         if rng.random() < 0.12:
             q = pick(['"', "'", ""])
             value = " ".join(pick([pick(known), word()]) for _ in range(rng.randint(3 if not q else 2, 6)))
