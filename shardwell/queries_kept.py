@@ -429,21 +429,21 @@ def flatten_objects(spark, sf):
 
 # types and collations
 
-_TYPED = "SELECT o_orderkey AS id, o_custkey % 2 = 0 AS flag, CAST(o_totalprice AS DECIMAL(38, 15)) AS price, md5(CAST(o_orderkey AS VARCHAR)) AS u FROM orders"
+_TYPED = "SELECT o_orderkey AS id, o_custkey % 2 = 0 AS flag, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DECIMAL(38, 15)) AS price, md5(CAST(o_orderkey AS VARCHAR)) AS u FROM orders"
 
 
 def _typed(spark, sf) -> Engine:
     e = Engine(spark)
     s = SpaceDef.of("typed", [FieldDef("id", "integer"), FieldDef("flag", "boolean"), FieldDef("price", "decimal"), FieldDef("u", "uuid")], [IndexDef.on("pk", "id"), IndexDef.on("flag", "flag", unique=False), IndexDef.on("price", "price", unique=False), IndexDef.on("u", "u")])
-    e.attach(s, lambda: spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS id", "o_custkey % 2 = 0 AS flag", "CAST(o_totalprice AS DECIMAL(38, 15)) AS price", "md5(CAST(CAST(o_orderkey AS STRING) AS BINARY)) AS u"))
+    e.attach(s, lambda: spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS id", "o_custkey % 2 = 0 AS flag", "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DECIMAL(38, 15)) AS price", "md5(CAST(CAST(o_orderkey AS STRING) AS BINARY)) AS u"))
     return e
 
 
 def _cast(df: DataFrame) -> DataFrame:
-    return df.withColumn("price", F.col("price").cast("double"))
+    return df.withColumn("price", F.col("price").cast("decimal(18, 2)").cast("double"))
 
 
-_TYPED_SHOWN = f"SELECT id, flag, CAST(price AS DOUBLE) AS price, u FROM ({_TYPED})"
+_TYPED_SHOWN = f"SELECT id, flag, CAST(CAST(price AS DECIMAL(18, 2)) AS DOUBLE) AS price, u FROM ({_TYPED})"
 for _name, _conditions, _where, _order in (
     ("boolean", [(">", "flag", False)], "flag", "flag, id"),
     ("decimal", [(">=", "price", 150000.25)], "price >= 150000.25", "price, id"),
