@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .asked import asked_table, holds
 from .components import components
-from .runtime import documents, map_rows, query, text_of, width, written
+from .runtime import documents, map_rows, passing_tables, query, text_of, width, written
 from .textkit import U64, Words, binary16, lists_of, mix, pieces, runs, unlisted
 
 SHINGLE, PERCENT = 5, 80
@@ -390,23 +390,24 @@ def _cross(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def _placed(base: DataFrame, k: int, percent: int) -> DataFrame:
     """base: doc_id, text, mark, other. One row for each of its rows: doc_id, mark, other, n (set size), label (of its component, or of its class)."""
     spark = base.sparkSession
-    both = written(base.mapInArrow(_sets(k), _SETS), "sets")
-    sets = both.filter("part IS NULL").select("doc_id", "mark", "other", "n", "k1", "cid", "digest")
-    order = global_order(both.filter("part IS NOT NULL").select("part", "salt", "counts"), sets.agg(F.sum("n")).first()[0] or 0)
-    order = spark.sparkContext.broadcast(order)
-    classes = written(sets.filter("n > 0").dropDuplicates(["cid"]).select("k1", "cid", "n", "digest"), "classes")
-    posted = base.mapInArrow(_post(order, k, percent), _POSTED)
-    dealt = posted.repartition(width(spark), F.when(F.col("kind") == 2, F.xxhash64("cid")).otherwise(F.col("tok"))).sortWithinPartitions("tok", "pos", "cid", F.desc("kind"))
-    met = written(dealt.mapInArrow(_meet(percent), _POSTED).drop("kind"), "meetings")
-    alike = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("k1").alias("x"), F.col("k1").alias("y"))  # different sets with one first half
-    star = met.filter("hub IS NOT NULL").select(F.col("hub").alias("x"), F.col("cid").alias("y")).distinct().union(alike)
-    links = verified(_tried(star, classes, percent, "hub-pairs"), base, order, k, percent)
-    labels = components(links)
-    tried = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    cross = _tried(_cross(met, labels, percent).join(tried, ["x", "y"], "left_anti"), classes, percent, "cross-pairs")
-    if not cross.isEmpty():
-        labels = components(links.select("a", "b").union(verified(cross, base, order, k, percent).select("a", "b")))
-    return written(sets.join(labels, F.col("cid") == F.col("v"), "left").select("doc_id", "mark", "other", "n", F.coalesce("label", "cid").alias("label")), "placed")
+    with passing_tables(spark) as kept:
+        both = written(base.mapInArrow(_sets(k), _SETS), "sets")
+        sets = both.filter("part IS NULL").select("doc_id", "mark", "other", "n", "k1", "cid", "digest")
+        order = global_order(both.filter("part IS NOT NULL").select("part", "salt", "counts"), sets.agg(F.sum("n")).first()[0] or 0)
+        order = spark.sparkContext.broadcast(order)
+        classes = written(sets.filter("n > 0").dropDuplicates(["cid"]).select("k1", "cid", "n", "digest"), "classes")
+        posted = base.mapInArrow(_post(order, k, percent), _POSTED)
+        dealt = posted.repartition(width(spark), F.when(F.col("kind") == 2, F.xxhash64("cid")).otherwise(F.col("tok"))).sortWithinPartitions("tok", "pos", "cid", F.desc("kind"))
+        met = written(dealt.mapInArrow(_meet(percent), _POSTED).drop("kind"), "meetings")
+        alike = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("k1").alias("x"), F.col("k1").alias("y"))  # different sets with one first half
+        star = met.filter("hub IS NOT NULL").select(F.col("hub").alias("x"), F.col("cid").alias("y")).distinct().union(alike)
+        links = verified(_tried(star, classes, percent, "hub-pairs"), base, order, k, percent)
+        labels = components(links)
+        tried = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        cross = _tried(_cross(met, labels, percent).join(tried, ["x", "y"], "left_anti"), classes, percent, "cross-pairs")
+        if not cross.isEmpty():
+            labels = components(links.select("a", "b").union(verified(cross, base, order, k, percent).select("a", "b")))
+        return kept(written(sets.join(labels, F.col("cid") == F.col("v"), "left").select("doc_id", "mark", "other", "n", F.coalesce("label", "cid").alias("label")), "placed"))
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

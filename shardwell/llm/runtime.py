@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -23,6 +24,7 @@ ORACLES: dict[str, str] = {}
 BATCH_ROWS = 1024
 _shipped: dict[str, bool] = {}
 _folders: set[str] = set()
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def query(name: str, oracle: str | None = None):
@@ -72,9 +74,31 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession):
+    """Tables written inside are removed at the end, but for those whose frame is handed to the function given as soon as it is written."""
+    made: list[str] = []
+    kept: set[str] = set()
+    before = _made.set(made)
+    try:
+        yield lambda df: kept.add(made[-1]) or df
+    finally:
+        _made.reset(before)
+        for path in made:
+            if path not in kept:
+                _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _folder(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/shardwell-{spark.sparkContext.applicationId}"
     if path not in _folders:
@@ -87,8 +111,7 @@ def sweep(spark: SparkSession, path: str | None = None) -> None:
     """Remove the tables that this application has written between its steps. Results that read them must have been used."""
     path = path or _folder(spark)
     with contextlib.suppress(Exception):  # at the end of the process the session may be gone
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(spark, path)
         _folders.discard(path)
 
 
