@@ -40,6 +40,8 @@ EVIDENCE = 50.0
 UNKNOWN = "und"
 #: Languages whose counts a task holds at a time; tables that one task of the first step sums.
 HELD, STEP = 64, 256
+#: Bytes of text whose n-grams are held at a time.
+PIECE = 1 << 18
 
 
 @cache
@@ -100,7 +102,7 @@ def _count(batches):
     held: dict[str, np.ndarray] = {}
     part = TaskContext.get().partitionId() // STEP
     for whole in batches:
-        for batch in pieces(whole):
+        for batch in pieces(whole, most=PIECE):
             bucket, row, _ = grams(_texts(batch.column("text")))
             langs = batch.column("lang").to_pylist()
             for lang in set(langs):
@@ -170,7 +172,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def go(batches):
         for whole in batches:
-            for batch in pieces(whole, text_col):
+            for batch in pieces(whole, text_col, PIECE):
                 langs, score = sent.value.predict(_texts(batch.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
 
@@ -183,7 +185,7 @@ def keep_certain(docs: DataFrame, model: Model, least: float, text_col: str = "t
 
     def go(batches):
         for whole in batches:
-            for batch in pieces(whole, text_col):
+            for batch in pieces(whole, text_col, PIECE):
                 langs, score = sent.value.predict(_texts(batch.column(text_col)))
                 yield batch.filter(pa.array(np.array([x != UNKNOWN for x in langs], bool) & (score >= least)))
 

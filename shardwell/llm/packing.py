@@ -119,10 +119,7 @@ def arrange(sizes: np.ndarray, combos: np.ndarray, counts: np.ndarray, window: i
     free[0] = ends[0]
     begin = (whole * window).tolist()
     for planned in (True, False):
-        there = np.array(ends) - np.array(free) > 0
-        there[0] = True  # no part
-        some = there[combos].all(axis=1) & (counts > 0 if planned else True)
-        for combo, limit in zip(combos[some].tolist(), counts[some].tolist(), strict=True):
+        for combo, limit in _ready(combos, counts, free, ends, planned):
             parts = [p for p in combo if p]
             most = min((ends[p] - free[p]) // parts.count(p) for p in parts)
             for _ in range(min(most, limit) if planned else most):
@@ -156,6 +153,15 @@ def arrange(sizes: np.ndarray, combos: np.ndarray, counts: np.ndarray, window: i
                 number, room = number + 1, window
 
 
+def _ready(combos: np.ndarray, counts: np.ndarray, free: list[int], ends: list[int], planned: bool, step: int = 8192) -> Iterator[tuple[list[int], int]]:
+    """Combinations whose lengths are there just now, some at a time; planned: those only that have a count."""
+    for a in range(0, len(combos), step):
+        there = np.array(ends) - np.array(free) > 0
+        there[0] = True  # no part
+        some = there[combos[a : a + step]].all(axis=1) & (counts[a : a + step] > 0 if planned else True)
+        yield from zip(combos[a : a + step][some].tolist(), counts[a : a + step][some].tolist(), strict=True)
+
+
 def _tokenise(path: str, end_id: int, id_type):
     def go(batches):
         encoder = WordEncoder.load(path)

@@ -37,7 +37,7 @@ _MALLOC = {-3: 2 << 20, -1: 8 << 20, -8: 2}
 give_back()
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `most` bytes of text; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(sizes)

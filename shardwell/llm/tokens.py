@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from .textkit import U64, flat, same_spans, span_hash
 
-REMEMBERED = 600_000
-REMEMBERED_BYTES = 16 << 20
+REMEMBERED = 400_000
+REMEMBERED_BYTES = 8 << 20
 #: A control character with an id of its own.
 MARK, BETWEEN = b"\x01", b" \x01 "
 _loaded: dict[str, WordEncoder] = {}
