@@ -340,3 +340,13 @@ def test_links_of_a_group():
     assert few(going, n=10) == {(a, 100) for a in range(101, 110)} | {(106, 105), (107, 105), (107, 106), (109, 108)}
     deep = [7] * 10, [1, 1, 1, 1, 1, 1, 1, 1, 5, 5]
     assert few(*deep, n=10) == {(a, 100) for a in range(101, 110)} | {(109, 108)}
+
+
+def test_passages_of_equal_texts_repeated_rows_and_null_ids(spark):
+    rng = random.Random(17)
+    text, other = " ".join(fresh_words(rng, 80)), " ".join(fresh_words(rng, 80))
+    rows = [(1, text), (1, text), (2, text), (3, text), (None, text), (None, text), (1, other), (5, ""), (6, None), (7, None)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    # rows that repeat id and text are one: four texts are left, each with each
+    assert sorted(sorted(map(str, (r.doc_id, r.other_id))) for r in got) == sorted(sorted(p) for p in itertools.combinations(["1", "2", "3", "None"], 2))
+    assert all((r.start_word, r.end_word, r.other_start, r.other_end, r.matched_words, r.identity) == (0, 80, 0, 80, 80, 1.0) for r in got)
