@@ -170,9 +170,10 @@ def global_order(sketches: DataFrame, shingles: int) -> Order:
     """From the tasks' sketches (part, salt, counts). A byte for each place of the sketch reaches the driver."""
     table = "part int, salt int, counts binary"
     summed = sketches.repartition(4 * SKETCH_PARTS, "part", "salt").mapInArrow(_sum_sketch, table)
-    summed = summed.withColumn("salt", F.lit(0)).repartition(SKETCH_PARTS, "part").mapInArrow(_sum_sketch, table)
+    classify = _classify(shingles / (1 << SKETCH_BITS))
+    classified = summed.withColumn("salt", F.lit(0)).repartition(SKETCH_PARTS, "part").mapInArrow(lambda batches: classify(_sum_sketch(batches)), "part int, classes binary, mass array<double>")
     classes, mass = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8), np.zeros(64)
-    for row in summed.mapInArrow(_classify(shingles / (1 << SKETCH_BITS)), "part int, classes binary, mass array<double>").collect():  # SKETCH_PARTS rows
+    for row in classified.collect():  # SKETCH_PARTS rows
         classes[row["part"]] = np.frombuffer(bytes(row["classes"]), np.uint8)
         mass += np.array(row["mass"])
     return Order(classes.ravel(), mass)
