@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from .textkit import U64, flat, same_spans, span_hash
 
-REMEMBERED = 400_000
-REMEMBERED_BYTES = 8 << 20
+REMEMBERED = 1_200_000
+REMEMBERED_BYTES = 24 << 20
 #: A control character with an id of its own.
 MARK, BETWEEN = b"\x01", b" \x01 "
 _loaded: dict[str, WordEncoder] = {}
@@ -117,13 +117,13 @@ class WordEncoder:
     def forget(self) -> None:
         self.known = HashTable()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.at, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.count, self.bytes, self.bytes_used = 0, np.zeros((1 << 20) + 8, np.uint8), 0
-        self.word_at, self.word_size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.word_at, self.word_size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words and how many each has. A mark that stands between words tells them apart, so the library sees few long texts; words that hold the mark go alone."""
-        if any(MARK in w for w in words):
+        if MARK in b" ".join(words):
             lists = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
             return np.array([y for x in lists for y in x], np.uint32), np.array([len(x) for x in lists], np.int64)
         got = np.array(self.tokenizer.encode_batch_fast([BETWEEN.join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
