@@ -120,7 +120,7 @@ def _sets(k: int):
     return go
 
 
-def _sum_sketch(batches):
+def sum_sketch(batches):
     """One row for each part and salt."""
     total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
@@ -169,9 +169,9 @@ class Order:
 def global_order(sketches: DataFrame, shingles: int) -> Order:
     """From the tasks' sketches (part, salt, counts). A byte for each place of the sketch reaches the driver."""
     table = "part int, salt int, counts binary"
-    summed = sketches.repartition(4 * SKETCH_PARTS, "part", "salt").mapInArrow(_sum_sketch, table)
+    summed = sketches.repartition(4 * SKETCH_PARTS, "part", "salt").mapInArrow(sum_sketch, table)
     classify = _classify(shingles / (1 << SKETCH_BITS))
-    classified = summed.withColumn("salt", F.lit(0)).repartition(SKETCH_PARTS, "part").mapInArrow(lambda batches: classify(_sum_sketch(batches)), "part int, classes binary, mass array<double>")
+    classified = summed.withColumn("salt", F.lit(0)).repartition(SKETCH_PARTS, "part").mapInArrow(lambda batches: classify(sum_sketch(batches)), "part int, classes binary, mass array<double>")
     classes, mass = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8), np.zeros(64)
     for row in classified.collect():  # SKETCH_PARTS rows
         classes[row["part"]] = np.frombuffer(bytes(row["classes"]), np.uint8)

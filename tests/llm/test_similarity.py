@@ -350,3 +350,20 @@ def test_passages_of_equal_texts_repeated_rows_and_null_ids(spark):
     # rows that repeat id and text are one: four texts are left, each with each
     assert sorted(sorted(map(str, (r.doc_id, r.other_id))) for r in got) == sorted(sorted(p) for p in itertools.combinations(["1", "2", "3", "None"], 2))
     assert all((r.start_word, r.end_word, r.other_start, r.other_end, r.matched_words, r.identity) == (0, 80, 0, 80, 80, 1.0) for r in got)
+
+
+def test_hot_seeds_give_the_same_passages(spark):
+    rng = random.Random(23)
+    common, inner = fresh_words(rng, 90), [fresh_words(rng, 40) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        w = list(common)
+        if i % 3 == 0:
+            w[50:50] = inner[i % 4]
+        if i % 4 == 0:
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(fresh_words(rng, rng.randint(0, 30)) + w + fresh_words(rng, 10))))
+    rows += [rows[3], rows[3], (None, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain, hot, some = (sorted(map(str, substring_dedup.repeated_passages(df, hot=n).collect())) for n in (10**6, 0, 20))
+    assert plain == hot == some and len(plain) > 40
