@@ -10,9 +10,7 @@
    larger one with its smallest key. So texts that share `LEAST` words exactly are always linked by a
    text with all of them, and a seed that very many texts hold stays linear. Seeds that more than `HOT`
    texts may hold don't meet in a task: the same groups, smallest keys and pairs are made by aggregations
-   and joins that combine and split them. Not whole: an edited passage all of whose seeds more than FEW
-   texts hold, whose stretches of 18 and of 30 unedited words are as common, and whose holders have no
-   smallest key in common.
+   and joins that combine and split them.
 3. Matches of a pair of documents that follow each other without a break are blocks; chains of blocks
    that go up in both documents are scored with a cost for each word passed over, the best predecessor
    coming from a Fenwick tree of prefix maxima. Chains are taken best first, each block once, and parted
@@ -22,6 +20,14 @@
    chain as a whole is not alike it is parted at its worst gap, until every part is; ends are extended,
    over changed, added and missing words and as far as they go; parts of at least `LEAST` matched words
    and `IDENTITY` are passages.
+5. The rest of the seeds that more than FEW texts hold: their holders form classes, one for each text of
+   smallest key that passages found so far lead to at that place. All holders of different classes are
+   held against each other by digests of the words on both sides: a passage of `LEAST` matched words
+   leaves half of those outside the seed on one side of it, with all that may be amiss. Pairs that digests
+   don't rule out go through 3 and 4, there without CHAINED. However many texts hold a seed, so, two that
+   share a passage of `LEAST` words over it have a row or are in one class. Digests are
+   compared for all pairs of classes: work that grows with the square of the texts that hold a common
+   phrase, in blocks of `BLOCK` that are dealt over tasks.
 
 Rows are a function of the table: they don't depend on how it is dealt over partitions.
 
@@ -55,6 +61,8 @@ FEW, LONGER = 6, (12, 24)
 HOT = 1_000_000
 #: Words between blocks at which a chain is parted, and words in blocks that a chain must have.
 GAP, CHAINED = 256, 9
+#: Bits of a digest, holders in a block, and how far two places of a hub may lie apart that passages over one seed lead to.
+DIGEST, BLOCK, DRIFT = 256, 2048, 64
 
 
 def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -151,6 +159,15 @@ def hot_cells(base: DataFrame, most: int) -> np.ndarray | None:
     return np.packbits(hot.ravel()) if hot.any() else None
 
 
+def common_of(seed: np.ndarray, least: np.ndarray, few: int = FEW) -> np.ndarray:
+    """Rows of seeds that more than few rows hold, but for those whose holders all go on with the same `least` words: these all have their hub."""
+    order = np.argsort(seed, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], seed[order][1:] != seed[order][:-1]]))
+    size = np.diff(np.append(begin, len(seed)))
+    low, high = np.minimum.reduceat(least[order], begin), np.maximum.reduceat(least[order], begin)
+    return order[np.repeat((size > few) & ((low != high) | (low == 0)), size)]
+
+
 _HOT_ROW = "seed long, long int, longer int, least int, key long, pos int"
 
 
@@ -172,9 +189,15 @@ def _post_hot(least: int, hot):
     return go
 
 
+def hot_common(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """What `common_of` gives: seed, key, pos."""
+    groups = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("low"), F.max("least").alias("high"))
+    return rows.join(groups.filter((F.col("n") > few) & ((F.col("low") != F.col("high")) | (F.col("low") == 0))), "seed").select("seed", "key", "pos")
+
+
 def hot_links(rows: DataFrame, few: int = FEW) -> DataFrame:
     """What `links` gives, from rows of seeds that no task could take together: key, hub, pos, hub_pos."""
-    alive, out = written(rows, "hot-seeds"), None
+    alive, out = rows, None
     columns = ["seed", "long", "longer", "least"]
     for depth in range(len(columns)):
         own = columns[: depth + 1]
@@ -268,6 +291,17 @@ def links(seed: np.ndarray, key: np.ndarray, pos: np.ndarray, *going: np.ndarray
 #: Links that a partition of seeds sends to one where pairs are chained: pairs of texts, how many links each has, and their places.
 _LINKS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("hubs", pa.binary()), ("counts", pa.binary()), ("pos", pa.binary()), ("hub_pos", pa.binary())])
 _LINKS_SQL = "part int, keys binary, hubs binary, counts binary, pos binary, hub_pos binary"
+#: Links, or holders of a common seed: seeds, keys, pos.
+_MET_SQL = _LINKS_SQL + ", seeds binary"
+
+
+_MET = _LINKS.append(pa.field("seeds", pa.binary()))
+
+
+def _common(batches):
+    for batch in batches:
+        for keys, pos, held in zip(*(batch.column(c).to_pylist() for c in ("keys", "pos", "seeds")), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(held, np.int64)), pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(pos, np.int32))], ["seed", "key", "pos"])
 
 
 def _meet(parts: list[int]):
@@ -276,16 +310,22 @@ def _meet(parts: list[int]):
     def go(batches):
         held = []
         for batch in batches:
-            for n, keys, packed in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "seeds")), strict=True):
+            for part, n, keys, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "keys", "seeds")), strict=True):
                 x = _unplaned(packed, n)
-                held.append((x["seed"], np.frombuffer(keys, np.int64)[x["row"].astype(np.int64)], x["pos"].astype(np.int32), x["long"].astype(np.uint16), x["longer"].astype(np.uint16), x["least"].astype(np.uint32)))
+                held.append((x["seed"] | U64((part & 0xFFFFFF) << 40), np.frombuffer(keys, np.int64)[x["row"].astype(np.int64)], x["pos"].astype(np.int32), x["long"].astype(np.uint16), x["longer"].astype(np.uint16), x["least"].astype(np.uint32)))
         if not held:
             return
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         del held
         found = links(*columns)
+        at = common_of(columns[0], columns[5])
+        for i in range(0, len(at), 1 << 18):
+            own = at[i : i + (1 << 18)]
+            row = {"keys": columns[1][own], "pos": columns[2][own], "seeds": columns[0][own]}
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name].tobytes()] if f.name in row else [None], f.type) for f in _MET], schema=_MET)
         del columns
-        yield from _packets(*found, parts)
+        for batch in _packets(*found, parts):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], schema=_MET)
 
     return go
 
@@ -406,14 +446,14 @@ def parted(x: list[int], y: list[int], size: list[int], gap: int = GAP) -> list[
     return out
 
 
-def _chain():
+def _chain(least: int = CHAINED):
     schema = pa.schema([("key", pa.int64()), ("hub", pa.int64()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("size", pa.list_(pa.int32()))])
 
     def chained(key, hub, x, y):
         x, y, size = blocks(x, y)
         for c in chains(x, y, size):
             for part in parted([x[i] for i in c], [y[i] for i in c], [size[i] for i in c]):
-                if sum(n for *_, n in part) >= CHAINED:
+                if sum(n for *_, n in part) >= least:
                     yield key, hub, *map(list, zip(*part, strict=True))
 
     def go(batches):
@@ -540,8 +580,8 @@ def passages(x, y, size, gaps_a, gaps_b, more, least: int = LEAST, identity: flo
             yield found
 
 
-_SIDE = pa.schema([("chain", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("cuts", pa.list_(pa.int32())), ("left", pa.int32()), ("right", pa.int32()), ("more_left", pa.bool_()), ("more_right", pa.bool_()), ("words", pa.binary())])
-_SIDE_SQL = "chain long, side int, doc_id long, cuts array<int>, left int, right int, more_left boolean, more_right boolean, words binary"
+_SIDE = pa.schema([("chain", pa.int64()), ("side", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("cuts", pa.list_(pa.int32())), ("left", pa.int32()), ("right", pa.int32()), ("more_left", pa.bool_()), ("more_right", pa.bool_()), ("words", pa.binary())])
+_SIDE_SQL = "chain long, side int, key long, doc_id long, cuts array<int>, left int, right int, more_left boolean, more_right boolean, words binary"
 
 
 def _cut(reach: int):
@@ -552,7 +592,7 @@ def _cut(reach: int):
             for batch in pieces(whole):
                 words = Words(batch.column("text"))
                 rows = []
-                for r, (doc_id, asks) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
+                for r, (key, doc_id, asks) in enumerate(zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
                     h, a, b = words.hash, int(words.first[r]), int(words.first[r + 1])
                     for q in asks:
                         cuts = [c for p, n in zip(q["at"], q["size"], strict=True) for c in (p, p + n)]
@@ -561,7 +601,7 @@ def _cut(reach: int):
                         low, high = max(0, cuts[0] - reach), min(b - a, cuts[-1] + reach)
                         edge = [low, *cuts, high]
                         own = np.concatenate([h[a + edge[i] : a + edge[i + 1]] for i in range(0, len(edge), 2)])
-                        rows.append((q["chain"], q["side"], doc_id, cuts, cuts[0] - low, high - cuts[-1], low > 0, high < b - a, own.astype(np.uint32).tobytes()))
+                        rows.append((q["chain"], q["side"], key, doc_id, cuts, cuts[0] - low, high - cuts[-1], low > 0, high < b - a, own.astype(np.uint32).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIDE, strict=True)], schema=_SIDE)
 
@@ -569,7 +609,7 @@ def _cut(reach: int):
 
 
 _PASSAGE_NAMES = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "matched_words", "identity"]
-_PASSAGES = ", ".join(f"{c} long" for c in _PASSAGE_NAMES[:-1]) + ", identity double, cut boolean"
+_PASSAGES = ", ".join(f"{c} long" for c in _PASSAGE_NAMES[:-1]) + ", identity double, cut boolean, key long, hub long"
 
 
 def _gaps(side: dict) -> list[np.ndarray]:
@@ -580,14 +620,14 @@ def _gaps(side: dict) -> list[np.ndarray]:
 
 def _align(least: int, identity: float):
     """Both sides of a chain come one after the other."""
-    kinds = (pa.int64(),) * 7 + (pa.float64(), pa.bool_())
+    kinds = (pa.int64(),) * 7 + (pa.float64(), pa.bool_(), pa.int64(), pa.int64())
 
     def one(a: dict, b: dict):
         x, y, size = a["cuts"][::2], b["cuts"][::2], [q - p for p, q in zip(a["cuts"][::2], a["cuts"][1::2], strict=True)]
         found = list(passages(x, y, size, _gaps(a), _gaps(b), (a["more_left"], b["more_left"], a["more_right"], b["more_right"]), least, identity))
         if None in found:
-            return [(None, None, a["chain"], 0, 0, 0, 0, 0.0, True)]
-        return [(a["doc_id"], b["doc_id"], s, e, t, u, n, n / max(e - s, u - t), False) for s, e, t, u, n in found]
+            return [(None, None, a["chain"], 0, 0, 0, 0, 0.0, True, None, None)]
+        return [(a["doc_id"], b["doc_id"], s, e, t, u, n, n / max(e - s, u - t), False, a["key"], b["key"]) for s, e, t, u, n in found]
 
     def go(batches):
         chain, open_ = None, []
@@ -602,7 +642,7 @@ def _align(least: int, identity: float):
                     for a in open_:
                         rows += one(a, side)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [*_PASSAGE_NAMES, "cut"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [*_PASSAGE_NAMES, "cut", "key", "hub"])
 
     return go
 
@@ -618,11 +658,28 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cells = hot_cells(base, hot)
     cells = None if cells is None else spark.sparkContext.broadcast(cells)
     posted = base.select("key", "text").mapInArrow(_post(names, least, cells), _POST_SQL).repartition(width(spark), "part")
-    packed = posted.mapInArrow(_meet(names), _LINKS_SQL)
+    met = written(posted.mapInArrow(_meet(names), _MET_SQL), "met")
+    packed = met.filter("seeds IS NULL").drop("seeds")
+    common = met.filter("seeds IS NOT NULL").mapInArrow(_common, "seed long, key long, pos int")
     if cells is not None:
-        packed = packed.union(hot_links(base.select("key", "text").mapInArrow(_post_hot(least, cells), _HOT_ROW)).mapInArrow(_pack_hot(names), _LINKS_SQL))
-    placed = packed.repartition(width(spark), "part")
-    chained = placed.mapInArrow(_chain(), "key long, hub long, x array<int>, y array<int>, size array<int>").withColumn("chain", F.monotonically_increasing_id())
+        rows = written(base.select("key", "text").mapInArrow(_post_hot(least, cells), _HOT_ROW), "hot-seeds")
+        packed = packed.union(hot_links(rows).mapInArrow(_pack_hot(names), _LINKS_SQL))
+        common = common.union(hot_common(rows))
+    out = _passages(base, packed, CHAINED, least, identity)
+    if not common.isEmpty():
+        more = _passages(base, _rest(base, common, out, names, least, identity), K, least, identity)
+        same = [F.col(f"m.{c}") == F.col(f"o.{c}") for c in ("key", "hub")]
+        over = (F.col("m.start_word") < F.col("o.end_word")) & (F.col("o.start_word") < F.col("m.end_word"))
+        out = out.union(more.alias("m").join(out.alias("o"), [*same, over], "left_anti"))
+    return out.drop("key", "hub")
+
+
+_CHAINS = "key long, hub long, x array<int>, y array<int>, size array<int>"
+
+
+def _passages(base: DataFrame, packed: DataFrame, chained_words: int, least: int, identity: float) -> DataFrame:
+    """Passages of the pairs that these links name."""
+    chained = packed.repartition(width(base.sparkSession), "part").mapInArrow(_chain(chained_words), _CHAINS).withColumn("chain", F.monotonically_increasing_id())
     chained = written(chained, "chains")
     out, reach = None, REACH
     while True:
@@ -636,6 +693,160 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         reach *= REACH_MORE
 
 
+#: Holders of common seeds. label, at: the smallest hub that a passage over the seed leads to, and where; own key and place without one. before: the common seed up to WINDOW words before and how far, 0 without one. left, right: words in sight; digest: of those on the left, then of those on the right.
+_HOLDER = [("key", np.int64), ("pos", np.int64), ("label", np.int64), ("at", np.int64), ("before", np.uint64), ("left", np.int64), ("right", np.int64), ("digest", (np.uint64, 2 * DIGEST // 64))]
+
+
+def _digest(hashes: np.ndarray, first: np.ndarray, most: int, end: np.ndarray) -> np.ndarray:
+    """Parity, at each of DIGEST places, of the words from `first` to `end` that fall there; a word that comes again counts as another."""
+    at = first[:, None] + np.arange(most)
+    inside = at < end[:, None]
+    word = np.where(inside, hashes[np.minimum(at, len(hashes) - 1)], U64(0))
+    word.sort(axis=1)
+    new = np.ones(word.shape, bool)
+    new[:, 1:] = word[:, 1:] != word[:, :-1]
+    place = np.arange(most)
+    nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    bit = mix(word + nth.astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(DIGEST - 1)
+    row, col = np.nonzero(word)  # the hash 0 stands for no word
+    flat_ = np.bincount(row * DIGEST + bit[row, col].astype(np.int64), minlength=len(first) * DIGEST) & 1
+    return np.packbits(flat_.astype(np.uint8).reshape(len(first), DIGEST), axis=1).view(U64)
+
+
+def holders(hashes: np.ndarray, seed: np.ndarray, pos: np.ndarray, key: int, spans: list, sight: int) -> np.ndarray:
+    """Holders of the common seeds at `pos` (ascending) of a text; spans: (hub, start, end, other_start) of its passages."""
+    low, high = np.maximum(pos - sight, 0), np.minimum(pos + K + sight, len(hashes))
+    out = np.zeros(len(pos), _HOLDER)
+    out["key"], out["pos"], out["label"], out["at"] = key, pos, key, pos
+    gap = np.diff(pos)
+    out["before"][1:] = np.where(gap <= WINDOW, mix(seed[:-1].view(U64) + gap.astype(U64)) | U64(1), U64(0))
+    out["left"], out["right"] = pos - low, high - pos - K
+    out["digest"] = np.concatenate([_digest(hashes, low, sight, pos), _digest(hashes, pos + K, sight, high)], axis=1)
+    for hub, start, end, other in sorted(spans, reverse=True):
+        inside = (pos >= start) & (pos + K <= end)
+        out["label"][inside], out["at"][inside] = hub, other + pos[inside] - start
+    return out
+
+
+def classes(rows: np.ndarray) -> np.ndarray:
+    """Holders of one seed in order of the seed before and of label; hubs that hold the seed themselves hand their own label on."""
+    rows = rows[np.lexsort((rows["pos"], rows["key"]))]
+    while True:
+        to = np.minimum(np.searchsorted(rows["key"], rows["label"]), len(rows) - 1)
+        drift = rows["at"] - rows["pos"][to]
+        go = (rows["key"][to] == rows["label"]) & (rows["label"] != rows["key"]) & (np.abs(drift) <= DRIFT) & (rows["label"][to] != rows["label"])
+        if not go.any():
+            return rows[np.lexsort((rows["key"], rows["at"], rows["label"], rows["before"]))]
+        rows["label"][go], rows["at"][go] = rows["label"][to[go]], rows["at"][to[go]] + drift[go]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray | None, half: int):
+    """Places in a and b (None: a itself, each pair once) of holders of different classes that can share `half` words on one side. Those with the same seed before meet there."""
+    whole, planes = b is None, DIGEST // 64
+    b = a if whole else b
+    for i in range(0, len(a), 256):
+        x = a[i : i + 256]
+        j = i if whole else 0
+        if x["before"][0] and x["before"][0] == x["before"][-1]:
+            j = max(j, int(np.searchsorted(b["before"], x["before"][0], "right")))
+        elif whole and x["before"][0] == b["before"][-1] and x["label"][0] == x["label"][-1] and x["at"].max() - x["at"].min() <= DRIFT:
+            j = i + int(np.searchsorted(b["label"][i:], x["label"][0], "right")) if np.ptp(b["at"][i:][b["label"][i:] == x["label"][0]]) <= DRIFT else j
+        y = b[j:]
+        if not len(y):
+            continue
+        near = np.zeros((len(x), len(y)), bool)
+        for side, first in (("left", 0), ("right", planes)):
+            far = np.zeros(near.shape, np.uint16)
+            for p in range(first, first + planes):
+                far += np.bitwise_count(x["digest"][:, p, None] ^ y["digest"][None, :, p])
+            room = x[side][:, None] + y[side][None, :] - 2 * half
+            near |= (far <= room) & (x[side] >= half)[:, None] & (y[side] >= half)[None, :]
+        near &= (x["label"][:, None] != y["label"][None, :]) | (np.abs(x["at"][:, None] - y["at"][None, :]) > DRIFT)
+        near &= (x["before"][:, None] != y["before"][None, :]) | (x["before"] == 0)[:, None]
+        near &= x["key"][:, None] != y["key"][None, :]
+        if whole:
+            near &= np.arange(len(x))[:, None] + i < np.arange(len(y))[None, :] + j
+        u, v = np.nonzero(near)
+        yield u + i, v + j
+
+
+def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int], least: int, identity: float) -> DataFrame:
+    """Links between holders of common seeds (seed, key, pos) that passages found so far don't join and digests don't rule out."""
+    spark = base.sparkSession
+    half = (least - K) // 2
+    sight = half + int(least / identity + 1e-9) - least
+    asks = common.groupBy("key").agg(F.collect_list(F.struct("seed", "pos")).alias("asks"))
+    spans = out.groupBy("key").agg(F.collect_list(F.struct("hub", "start_word", "end_word", "other_start")).alias("spans"))
+    asks = asks.join(spans, "key", "left")
+    sent = spark.sparkContext.broadcast(asked_table(asks.select("key")))
+
+    def asked(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(sent.value, np.asarray(batch.column("key")))))
+
+    def around(batches):
+        for whole in batches:
+            for batch in pieces(whole):
+                words = Words(batch.column("text"))
+                seen, rows = [], []
+                for r, (key, own, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "asks", "spans")), strict=True)):
+                    hashes = words.hash[words.first[r] : words.first[r + 1]]
+                    own = [(q["seed"], q["pos"]) for q in own if q["pos"] + K <= len(hashes)]
+                    if own:
+                        seed, pos = np.array(sorted(own, key=lambda q: q[1]), np.int64).T
+                        seen.append(seed)
+                        rows.append(holders(hashes, seed, pos, key, [tuple(s.values()) for s in found or []], sight))
+                if rows:
+                    rows = np.concatenate(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen)), pa.array([x.tobytes() for x in rows], pa.binary())], ["seed", "holder"])
+
+    def work(batches):
+        """Blocks of holders to be held against each other; rows of a seed come together."""
+        seed, held = None, []
+
+        def deal():
+            rows = classes(np.frombuffer(b"".join(held), _HOLDER).copy())
+            if (rows["label"] == rows["label"][0]).all() and np.ptp(rows["at"]) <= DRIFT or rows["before"][0] and rows["before"][0] == rows["before"][-1]:
+                return
+            blocks_ = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
+            for i, x in enumerate(blocks_):
+                for j in range(i, len(blocks_)):
+                    y = blocks_[j]
+                    yield pa.RecordBatch.from_arrays([pa.array([seed], pa.int64()), pa.array([i * len(blocks_) + j], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([None if i == j else y.tobytes()], pa.binary())], ["seed", "nth", "a", "b"])
+
+        for batch in batches:
+            for s, holder in zip(batch.column("seed").to_pylist(), batch.column("holder").to_pylist(), strict=True):
+                if s != seed and held:
+                    yield from deal()
+                    held = []
+                seed = s
+                held.append(holder)
+        if held:
+            yield from deal()
+
+    def meet(batches):
+        found, count = [], 0
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x = np.frombuffer(x, _HOLDER)
+                y = None if y is None else np.frombuffer(y, _HOLDER)
+                for u, v in near_pairs(x, y, half):
+                    u, v = x[u], (x if y is None else y)[v]
+                    swap = u["key"] < v["key"]
+                    found.append(tuple(np.where(swap, p, q) for p, q in ((v["key"], u["key"]), (u["key"], v["key"]), (v["pos"].astype(np.int32), u["pos"].astype(np.int32)), (u["pos"].astype(np.int32), v["pos"].astype(np.int32)))))
+                    count += len(u)
+                    if count >= 1 << 20:
+                        yield from _packets(*(np.concatenate(c) for c in zip(*found, strict=True)), names)
+                        found, count = [], 0
+        if found:
+            yield from _packets(*(np.concatenate(c) for c in zip(*found, strict=True)), names)
+
+    texts = base.select("key", "text").mapInArrow(asked, "key long, text string").dropDuplicates(["key"])
+    held = texts.join(asks, "key").mapInArrow(around, "seed long, holder binary").repartition(width(spark), "seed").sortWithinPartitions("seed")
+    dealt = held.mapInArrow(work, "seed long, nth int, a binary, b binary").repartition(width(spark), "seed", "nth")
+    return dealt.mapInArrow(meet, _LINKS_SQL)
+
+
 def _aligned(base: DataFrame, chained: DataFrame, least: int, identity: float, reach: int) -> DataFrame:
     """Passages of chains, `reach` words on both sides in sight; those that go on to the edge of sight are marked cut, with the chain for start_word."""
     spark = base.sparkSession
@@ -650,7 +861,7 @@ def _aligned(base: DataFrame, chained: DataFrame, least: int, identity: float, r
             yield batch.filter(pa.array(holds(sent.value, np.asarray(batch.column("key")))))
 
     named = base.withColumn("other", F.xxhash64(F.lit(1), "text")).mapInArrow(asked, "key long, doc_id long, text string, other long").dropDuplicates(["key", "doc_id", "other"])
-    sides = named.join(asks, "key").select("doc_id", "text", "asks").mapInArrow(_cut(reach), _SIDE_SQL)
+    sides = named.join(asks, "key").select("key", "doc_id", "text", "asks").mapInArrow(_cut(reach), _SIDE_SQL)
     met = sides.repartition(width(spark), "chain").sortWithinPartitions("chain", "side")
     return written(met.mapInArrow(_align(least, identity), _PASSAGES), "passages")
 

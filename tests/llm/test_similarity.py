@@ -329,6 +329,45 @@ def test_edited_passages_whose_seeds_are_common_elsewhere(spark):
     assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((0, 1))} and got[0].matched_words >= 85
 
 
+def common_phrases(rng):
+    """Pairs of texts share an edited passage of phrases that each stand in 20 other texts, or a phrase of 10 words that all texts hold with 50 edited words before or after it."""
+    line = fresh_words(rng, 10)
+    rows, pairs = [], []
+    for n in range(8):
+        one = fresh_words(rng, 60)
+        two = ["changed" if k % 10 == 9 else w for k, w in enumerate(one)]
+        rows += [fresh_words(rng, 20) + one, two + fresh_words(rng, 20)]
+        pairs.append(frozenset((len(rows) - 2, len(rows) - 1)))
+        rows += [fresh_words(rng, 30) + one[k : k + 9] + fresh_words(rng, 30) for k in range(0, 60, 10) for _ in range(20)]
+        more = fresh_words(rng, 50)
+        changed = ["changed" if k % 7 == 5 else w for k, w in enumerate(more)]
+        rows += [fresh_words(rng, 20) + line + more, line + changed + fresh_words(rng, 20)] if n % 2 else [more + line + fresh_words(rng, 30), fresh_words(rng, 9) + changed + line]
+        pairs.append(frozenset((len(rows) - 2, len(rows) - 1)))
+    rows += [fresh_words(rng, 40) + line + fresh_words(rng, 40) for _ in range(100)]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)], set(pairs)
+
+
+def test_edited_passages_all_of_whose_seeds_are_common_are_found(spark):
+    rows, pairs = common_phrases(random.Random(41))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, hot = (substring_dedup.repeated_passages(df.repartition(parts), hot=n).collect() for parts, n in ((3, 10**6), (5, 10)))
+    assert {frozenset((r.doc_id, r.other_id)) for r in plain} == pairs
+    assert sorted(map(str, plain)) == sorted(map(str, hot))
+
+
+def test_digests_rule_out_no_pair_that_shares_enough_words():
+    rng = np.random.default_rng(42)
+    for _ in range(200):
+        one = rng.integers(0, 40, 140).astype(np.uint64)
+        two = rng.integers(0, 40, 140).astype(np.uint64)
+        at = rng.choice(34, 22, replace=False)
+        side = 70 + 6 + np.sort(at) if rng.random() < 0.5 else 69 - np.sort(at)
+        two[side] = one[side]
+        a, b = (substring_dedup.holders(substring_dedup.mix(w), np.array([1]), np.array([70]), k, [], 34) for k, w in enumerate((one, two)))
+        assert [(u.tolist(), v.tolist()) for u, v in substring_dedup.near_pairs(a, b, 22)] == [([0], [0])]
+        assert [(u.tolist(), v.tolist()) for u, v in substring_dedup.near_pairs(np.concatenate([a, b]), None, 22)] == [([0], [1])]
+
+
 def test_links_of_a_group():
     """Each with each in small groups; in larger ones with the first, and again within those that go on alike."""
     key, pos = np.arange(10, dtype=np.int64) + 100, np.zeros(10, np.int32)
