@@ -3,7 +3,8 @@
 The encoding of a text (n_pieces, ids_crc32, ids, round_trip) is that of the model's own kind as the
 library gives it: for a BPE model the merges in the order of its ranks. The N best stand beside it
 (best_score, best_ids_crc32, n_best, n_best_scores, n_best_pieces); in a BPE model scores are ranks, so
-the best by score is mostly another segmentation than the encoding.
+the best by score is mostly another segmentation than the encoding. The query gives the ids of the encoding
+and of all N best, packed as little-endian 32-bit integers, and the SHA-256 of what the encoding decodes to.
 
 A text's lattice has an edge for each piece of the model at each place where it stands; the best
 segmentations are the paths of largest total score (the scores of the model file, as a unigram model
@@ -25,6 +26,7 @@ equal texts; other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import documents, query, text_of
-from .textkit import U64, mix, pieces
+from .textkit import U64, lists_of, mix, pieces
 from .tokens import HashTable
 
 N_BEST = 4
@@ -296,7 +298,12 @@ class Pieces:
         return used + total
 
     def encode(self, texts: list[str], n_best: int = N_BEST):
-        """For each text: ids of the best path, its score, a list of (loss, changes, pieces more), best first, atoms, ids of the model's own encoding, and whether these decode to the text; changes is a tuple of (atom's index in the text, rank there)."""
+        """What `_encode` gives, without the last."""
+        for row in self._encode(texts, n_best):
+            yield row[:-1]
+
+    def _encode(self, texts: list[str], n_best: int):
+        """For each text: ids of the best path, its score, a list of (loss, changes, pieces more), best first, atoms, ids of the model's own encoding, and whether these decode to the text, and where each atom's ids begin in the best path's (one more at the end); changes is a tuple of (atom's index in the text, rank there)."""
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         atoms, count = self.atoms(texts)
@@ -318,7 +325,7 @@ class Pieces:
             g = gap[a:b]
             few = np.argsort(g, kind="stable")[: n_best - 1] if b - a <= 64 else self._least(g, n_best - 1)
             few = [int(i) for i in few if np.isfinite(g[i])]
-            yield flat[run[a] : run[b]], float(best[a:b].sum()), self._merge([(i, self._deep(atoms[a + i], n_best)) for i in few], n_best), atoms[a:b], own[own_run[a] : own_run[b]], bool(whole[a] == whole[b])
+            yield flat[run[a] : run[b]], float(best[a:b].sum()), self._merge([(i, self._deep(atoms[a + i], n_best)) for i in few], n_best), atoms[a:b], own[own_run[a] : own_run[b]], bool(whole[a] == whole[b]), run[a : b + 1] - run[a]
 
     @staticmethod
     def _least(g: np.ndarray, k: int) -> np.ndarray:
@@ -352,17 +359,18 @@ class Pieces:
                         heapq.heappush(heap, (sum(c2[0][0] - c2[r][0] for (_, c2), r in zip(choices, new, strict=True)), new))
         return out
 
-    def spelled(self, ids: np.ndarray, changes, atoms: list[str], n_best: int) -> list[int]:
-        """Ids of the segmentation that differs from the best (ids) by these changes."""
-        if not changes:
-            return ids.tolist()
-        change = dict(changes)
-        return [i for k, a in enumerate(atoms) for i in self._deep(a, n_best)[change.get(k, 0)][1]]
+    def spelled(self, ids: np.ndarray, changes, atoms: list[str], at: np.ndarray, n_best: int) -> np.ndarray:
+        """Ids of the segmentation that differs from the best (ids, in which atoms begin `at`) by these changes."""
+        parts, done = [], 0
+        for i, rank in sorted(changes):
+            parts += [ids[done : at[i]], np.array(self._deep(atoms[i], n_best)[rank][1], np.uint32)]
+            done = at[i + 1]
+        return np.concatenate([*parts, ids[done:]])
 
     def nbest(self, text: str, n_best: int = N_BEST) -> list[tuple[float, list[int]]]:
         """Segmentations of one text with their scores, best first."""
-        for ids, score, ranked, atoms, *_ in self.encode([text], n_best):
-            return [(score - loss, self.spelled(ids, changes, atoms, n_best)) for loss, changes, _ in ranked]
+        for ids, score, ranked, atoms, *_, at in self._encode([text], n_best):
+            return [(score - loss, self.spelled(ids, changes, atoms, at, n_best).tolist()) for loss, changes, _ in ranked]
         return []
 
     def _text(self, ids) -> str:
@@ -388,10 +396,19 @@ class Pieces:
 
 
 RESULT = "doc_id long, n_pieces long, ids_crc32 long, best_score double, best_ids_crc32 long, n_best int, n_best_scores array<double>, n_best_pieces array<long>, round_trip boolean, best_is_encoding boolean"
+WITH_IDS = ", decoded_sha256 string, ids array<int>, n_best_ids array<array<int>>"
+PACKED_IDS = ", decoded_sha256 string, ids binary, n_best_ids array<binary>"
+
+
+def _lists(arrays: list, packed: bool) -> pa.Array:
+    if packed:
+        return lists_of(np.concatenate([np.zeros(0, "<u4"), *arrays]).astype("<u4"), np.array([len(a) for a in arrays], np.int64))
+    flat = np.concatenate([np.zeros(0, np.uint32), *arrays]).astype(np.int32)
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.array(flat))
 
 
-def segment(docs: DataFrame, n_best: int = N_BEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row for each row of docs: size and CRC-32 (little-endian 32-bit ids) of the model's encoding, score and CRC-32 of the best segmentation, scores and sizes of the n_best, whether the encoding decodes to the text and whether the best by score is the encoding; with_ids: the encoding's ids, and those of all n_best."""
+def segment(docs: DataFrame, n_best: int = N_BEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, packed: bool = False) -> DataFrame:
+    """One row for each row of docs: size and CRC-32 (little-endian 32-bit ids) of the model's encoding, score and CRC-32 of the best segmentation, scores and sizes of the n_best, whether the encoding decodes to the text and whether the best by score is the encoding; with_ids: SHA-256 of the text that the encoding decodes to, the encoding's ids, and those of all n_best; packed: these as bytes, little-endian 32-bit integers."""
     path = model or default_model()
 
     def go(batches):
@@ -399,8 +416,8 @@ def segment(docs: DataFrame, n_best: int = N_BEST, model: str | None = None, id_
         for whole in batches:
             for batch in pieces(whole):
                 texts = pc.fill_null(batch.column("text"), "").to_pylist()
-                n, crc, best, best_crc, found, scores, sizes, same, agree, all_ids, lists = ([] for _ in range(11))
-                for ids, score, ranked, atoms, its, back in own.encode(texts, n_best):
+                n, crc, best, best_crc, found, scores, sizes, same, agree, decoded, all_ids, lists = ([] for _ in range(12))
+                for ids, score, ranked, atoms, its, back, at in own._encode(texts, n_best):
                     n.append(len(its))
                     crc.append(zlib.crc32(its.astype("<u4").tobytes()))
                     best_crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
@@ -411,14 +428,16 @@ def segment(docs: DataFrame, n_best: int = N_BEST, model: str | None = None, id_
                     same.append(back)
                     agree.append(np.array_equal(its, ids))
                     if with_ids:
-                        all_ids.append(its.tolist())
-                        lists.append([own.spelled(ids, changes, atoms, n_best) for _, changes, _ in ranked])
+                        text = "".join(atoms).replace(BLANK, " ").removeprefix(" ") if back else own.decode(its.tolist())  # atoms that all decode to themselves
+                        decoded.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+                        all_ids.append(its)
+                        lists += [own.spelled(ids, changes, atoms, at, n_best) for _, changes, _ in ranked]
                 cols = {"doc_id": batch.column("doc_id").cast(pa.int64()), "n_pieces": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "best_score": pa.array(best, pa.float64()), "best_ids_crc32": pa.array(best_crc, pa.int64()), "n_best": pa.array(found, pa.int32()), "n_best_scores": pa.array(scores, pa.list_(pa.float64())), "n_best_pieces": pa.array(sizes, pa.list_(pa.int64())), "round_trip": pa.array(same, pa.bool_()), "best_is_encoding": pa.array(agree, pa.bool_())}
-                yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(all_ids, pa.list_(pa.int32())), "n_best_ids": pa.array(lists, pa.list_(pa.list_(pa.int32())))} if with_ids else {}))
+                yield pa.RecordBatch.from_pydict(cols | ({"decoded_sha256": pa.array(decoded, pa.string()), "ids": _lists(all_ids, packed), "n_best_ids": pa.ListArray.from_arrays(np.cumsum([0, *found]).astype(np.int32), _lists(lists, packed))} if with_ids else {}))
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(go, RESULT + ", ids array<int>, n_best_ids array<array<int>>" * with_ids)
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(go, RESULT + (PACKED_IDS if packed else WITH_IDS) * with_ids)
 
 
 @query("op9_sentence_pieces")
 def op9_sentence_pieces(spark, sf_dir):
-    return segment(documents(spark, sf_dir))
+    return segment(documents(spark, sf_dir), with_ids=True, packed=True)

@@ -248,6 +248,22 @@ def test_segment_gives_the_encoding_of_the_models_own_kind(spark):
         assert r.ids == want and r.n_pieces == len(want) and r.ids_crc32 == crc(want) and r.round_trip
 
 
+def test_the_query_gives_ids_of_all_n_best_and_what_they_decode_to(spark, tmp_path):
+    import hashlib
+
+    texts = ["the international organization", "", None, "  two  blanks ", "é😀\n中\tx", *(prose(random.Random(n), 60) for n in range(20))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sentence_pieces.op9_sentence_pieces(spark, str(tmp_path)).collect()
+    p = sentence_pieces.Pieces.load(sentence_pieces.default_model())
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        n_best_ids = [np.frombuffer(i, "<u4").tolist() for i in r.n_best_ids]
+        assert np.frombuffer(r.ids, "<u4").tolist() == p.library.encode(text) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert len(n_best_ids) == r.n_best and [len(i) for i in n_best_ids] == r.n_best_pieces and all(p.decode(i) == text for i in n_best_ids)
+        assert all(abs(sum(p.score.get(x, 0) for x in i) - s) < 1e-3 for i, s in zip(n_best_ids, r.n_best_scores, strict=True) if set(i) <= p.score.keys())
+
+
 def test_many_atoms_at_once_give_what_the_search_gives():
     p = sentence_pieces.Pieces(sentence_pieces.default_model())
     rng = random.Random(22)
