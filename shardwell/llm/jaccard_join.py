@@ -363,7 +363,7 @@ def verified(pairs: DataFrame, base: DataFrame, order, k: int = SHINGLE, percent
     asked = spark.sparkContext.broadcast(asked_table(asked))
     segments = base.mapInArrow(_segments(order, k, asked), "cid binary, frag int, toks binary")
     segments = written(segments.dropDuplicates(["cid", "frag"]), "segments")
-    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts")), "hubs")
+    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts")), "hubs", narrow=True)
     own = hubs.join(segments, hubs["a"] == segments["cid"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "frag", F.lit(None).cast("binary").alias("b"), F.lit(0).cast("long").alias("n_a"), F.lit(0).cast("long").alias("n_b"), "toks")
     members = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     members = members.join(segments, members["b"] == segments["cid"]).select("a", "salt", "frag", "b", "n_a", "n_b", "toks")

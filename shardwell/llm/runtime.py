@@ -65,15 +65,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, narrow: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder and read back. Survives the loss of any executor.
 
+    narrow: rows of a few numbers, written by as many tasks as there are cores at most. On a local file
+    system each file costs an executor a process, which shows the executor's memory a second time.
+
     Results are lazy and read these tables, so they go with the application: all stand under one folder
     of it, removed when the driver's Python ends in an orderly way; `sweep` removes them sooner.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
     if (made := _made.get()) is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)

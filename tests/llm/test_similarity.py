@@ -148,6 +148,20 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + k] == 100 for k in range(30)) and got[200] == got[201] == 200
 
 
+def test_components_write_no_more_files_than_there_are_cores(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(0, 2000) if i % 4 != 3], "a long, b long")
+        got = jaccard_join.components(edges)
+        assert len(got.inputFiles()) <= spark.sparkContext.defaultParallelism < 40
+        assert {(r.v, r.label) for r in got.collect()} == {(i, i - i % 4) for i in range(2000)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_chains_against_all_chains():
     rng = random.Random(2)
     for _ in range(60):
