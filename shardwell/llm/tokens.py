@@ -22,6 +22,8 @@ REMEMBERED = 1_200_000
 REMEMBERED_BYTES = 24 << 20
 #: A control character with an id of its own.
 MARK, BETWEEN = b"\x01", b" \x01 "
+#: Words in a text that the library gets; longer texts cost it more for each word.
+TOGETHER = 128
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -122,11 +124,13 @@ class WordEncoder:
         self.word_at, self.word_size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words and how many each has. A mark that stands between words tells them apart, so the library sees few long texts; words that hold the mark go alone."""
+        """Ids of words and how many each has. A mark that stands between words tells them apart, so the library sees few texts; words that hold the mark go alone."""
         if MARK in b" ".join(words):
             lists = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
             return np.array([y for x in lists for y in x], np.uint32), np.array([len(x) for x in lists], np.int64)
-        got = np.array(self.tokenizer.encode_batch_fast([BETWEEN.join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        texts = [BETWEEN.join(words[i : i + TOGETHER]).decode() for i in range(0, len(words), TOGETHER)]
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = np.array([y for x in lists for y in (*x, self.mark)][:-1], np.uint32)
         marks = np.flatnonzero(got == self.mark)
         sizes = np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1
         if len(sizes) != len(words):

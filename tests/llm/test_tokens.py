@@ -8,7 +8,7 @@ import pytest
 from conftest_llm import odd_rows, prose
 
 from shardwell.llm import packing, range_coder, sentence_pieces, token_files
-from shardwell.llm.tokens import WordEncoder, default_tokenizer
+from shardwell.llm.tokens import BETWEEN, WordEncoder, default_tokenizer
 
 crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
 ODD = ["a", "B", "é", "É", "é", "İ", "ß", "ς", "1", "'s", "'T", ".", ",", "!!", "—", "😀", "中", "\x01", " ", "\t", "\n", " ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "_", '"', "\x1c", "​"]
@@ -36,6 +36,25 @@ def thue_morse(n, a, b):
     return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
 
 
+def test_the_library_gets_new_words_in_short_texts():
+    """Many words in one text cost the library more for each word."""
+    encoder = WordEncoder(default_tokenizer())
+    words = list(dict.fromkeys(prose(random.Random(31), 3000).split() + [f"é{n}ñ" for n in range(300)]))
+    seen, library = [], encoder.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(len(t.split(BETWEEN.decode())) for t in texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    encoder.tokenizer = Watched()
+    for n in (1, 127, 128, 129, len(words)):
+        ids, sizes = encoder._ids([w.encode() for w in words[:n]])
+        want = [library.encode(w, add_special_tokens=False).ids for w in words[:n]]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert max(seen) == 128 and sum(seen) == 1 + 127 + 128 + 129 + len(words)
+
+
 def test_words_that_defeat_polynomials_get_their_own_ids(monkeypatch):
     from shardwell.llm import jaccard_join, simhash, tokens
 
