@@ -25,7 +25,8 @@
    held against each other by digests of the words on both sides: a passage of `LEAST` matched words
    leaves half of those outside the seed on one side of it, with all that may be amiss. Pairs that digests
    don't rule out go through 3 and 4, there without CHAINED. However many texts hold a seed, so, two that
-   share a passage of `LEAST` words over it have a row or are in one class. Digests are
+   share a passage of `LEAST` words over it have a row or are in one class. Not looked for: longer
+   passages with more amiss than that on both sides of each common seed. Digests are
    compared for all pairs of classes: work that grows with the square of the texts that hold a common
    phrase, in blocks of `BLOCK` that are dealt over tasks.
 
