@@ -24,9 +24,12 @@
    smallest key that passages found so far lead to at that place. All holders of different classes are
    held against each other by digests of the words on both sides: a passage of `LEAST` matched words
    leaves half of those outside the seed on one side of it, with all that may be amiss. Pairs that digests
-   don't rule out go through 3 and 4, there without CHAINED. However many texts hold a seed, so, two that
+   don't rule out are held against each other by the words beside the seed, as far as a passage of twice
+   the length can reach: the most that match in order must leave room for a passage. The rest goes through
+   3 and 4, there without CHAINED. However many texts hold a seed, so, two that
    share a passage of `LEAST` words over it have a row or are in one class. Not looked for: longer
-   passages with more amiss than that on both sides of each common seed. Digests are
+   passages with more amiss than that on both sides of each common seed, and those that go on out of sight
+   with less than `OPEN` of the words there matching beside each common seed. Digests are
    compared for all pairs of classes: work that grows with the square of the texts that hold a common
    phrase, in blocks of `BLOCK` that are dealt over tasks.
 
@@ -694,8 +697,15 @@ def _passages(base: DataFrame, packed: DataFrame, chained_words: int, least: int
         reach *= REACH_MORE
 
 
-#: Holders of common seeds. label, at: the smallest hub that a passage over the seed leads to, and where; own key and place without one. before: the common seed up to WINDOW words before and how far, 0 without one. left, right: words in sight; digest: of those on the left, then of those on the right.
-_HOLDER = [("key", np.int64), ("pos", np.int64), ("label", np.int64), ("at", np.int64), ("before", np.uint64), ("left", np.int64), ("right", np.int64), ("digest", (np.uint64, 2 * DIGEST // 64))]
+#: Share of the words in sight that must match where a passage goes on beyond them.
+OPEN = 0.5
+#: Holders of common seeds. label, at: the smallest hub that a passage over the seed leads to, and where; own key and place without one. before: the common seed up to WINDOW words before and how far, 0 without one.
+_PLACE = [("seed", np.int64), ("key", np.int64), ("pos", np.int64), ("label", np.int64), ("at", np.int64), ("before", np.uint64)]
+
+
+def _holder(wide: int) -> np.dtype:
+    """Holders with what stands around them. left, right: words in sight; digest: of those on the left, then of those on the right; words: 16 bits of each of `wide` words on the left, nearest first, then on the right, 0 where the text ends."""
+    return np.dtype([*_PLACE, ("left", np.int64), ("right", np.int64), ("digest", (np.uint64, 2 * DIGEST // 64)), ("words", np.uint16, (2 * wide,))])
 
 
 def _digest(hashes: np.ndarray, first: np.ndarray, most: int, end: np.ndarray) -> np.ndarray:
@@ -714,21 +724,49 @@ def _digest(hashes: np.ndarray, first: np.ndarray, most: int, end: np.ndarray) -
     return np.packbits(flat_.astype(np.uint8).reshape(len(first), DIGEST), axis=1).view(U64)
 
 
-def holders(hashes: np.ndarray, seed: np.ndarray, pos: np.ndarray, key: int, spans: list, sight: int) -> np.ndarray:
-    """Holders of the common seeds at `pos` (ascending) of a text; spans: (hub, start, end, other_start) of its passages."""
-    low, high = np.maximum(pos - sight, 0), np.minimum(pos + K + sight, len(hashes))
-    out = np.zeros(len(pos), _HOLDER)
-    out["key"], out["pos"], out["label"], out["at"] = key, pos, key, pos
+def placed(seed: np.ndarray, pos: np.ndarray, row: np.ndarray, keys: np.ndarray, spans: list) -> np.ndarray:
+    """Places of the common seeds at `pos` of texts, in order of row (a text's number in keys) and pos; spans: for each text (hub, start, end, other_start) of its passages."""
+    out = np.zeros(len(pos), _PLACE)
+    out["seed"], out["key"], out["pos"], out["label"], out["at"] = seed, keys[row], pos, keys[row], pos
     gap = np.diff(pos)
-    out["before"][1:] = np.where(gap <= WINDOW, mix(seed[:-1].view(U64) + gap.astype(U64)) | U64(1), U64(0))
+    near = (gap <= WINDOW) & (row[1:] == row[:-1])
+    out["before"][1:] = np.where(near, mix(seed[:-1].view(U64) + gap.astype(U64)) | U64(1), U64(0))
+    edge = np.searchsorted(row, np.arange(len(keys) + 1)).tolist()
+    for r, found in enumerate(spans):
+        if found:
+            own = out[edge[r] : edge[r + 1]]
+            for hub, start, end, other in sorted(found, reverse=True):
+                inside = (own["pos"] >= start) & (own["pos"] + K <= end)
+                own["label"][inside], own["at"][inside] = hub, other + own["pos"][inside] - start
+    return out
+
+
+def seen(places: np.ndarray, hashes: np.ndarray, sight: int, wide: int) -> np.ndarray:
+    """Holders at these places of a text."""
+    pos = places["pos"]
+    low, high = np.maximum(pos - sight, 0), np.minimum(pos + K + sight, len(hashes))
+    out = np.zeros(len(pos), _holder(wide))
+    for name, _ in _PLACE:
+        out[name] = places[name]
     out["left"], out["right"] = pos - low, high - pos - K
     out["digest"] = np.concatenate([_digest(hashes, low, sight, pos), _digest(hashes, pos + K, sight, high)], axis=1)
-    for hub, start, end, other in sorted(spans, reverse=True):
-        inside = (pos >= start) & (pos + K <= end)
-        out["label"][inside], out["at"][inside] = hub, other + pos[inside] - start
+    if wide:
+        short = np.maximum(hashes >> U64(48), U64(1)).astype(np.uint16)
+        at = np.concatenate([pos[:, None] - 1 - np.arange(wide), pos[:, None] + K + np.arange(wide)], axis=1)
+        out["words"] = np.where((at >= 0) & (at < len(hashes)), short[np.clip(at, 0, len(hashes) - 1)], 0)
     return out
 
 
+def holders(hashes: np.ndarray, seed: np.ndarray, pos: np.ndarray, key: int, spans: list, sight: int, wide: int = 0) -> np.ndarray:
+    """Holders of the common seeds at `pos` (ascending) of a text."""
+    return seen(placed(seed, pos, np.zeros(len(pos), np.int64), np.array([key]), [spans]), hashes, sight, wide)
+
+
+def one_class(rows: np.ndarray) -> bool:
+    """Whether holders of one seed, in order of `classes`, have no two to be held against each other there."""
+    return bool((rows["label"] == rows["label"][0]).all() and np.ptp(rows["at"]) <= DRIFT or rows["before"][0] and rows["before"][0] == rows["before"][-1])
+
+
 def classes(rows: np.ndarray) -> np.ndarray:
     """Holders of one seed in order of the seed before and of label; hubs that hold the seed themselves hand their own label on."""
     rows = rows[np.lexsort((rows["pos"], rows["key"]))]
@@ -771,15 +809,111 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, half: int):
         yield u + i, v + j
 
 
-def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int], least: int, identity: float) -> DataFrame:
-    """Links between holders of common seeds (seed, key, pos) that passages found so far don't join and digests don't rule out."""
-    spark = base.sparkSession
-    half = (least - K) // 2
-    sight = half + int(least / identity + 1e-9) - least
+def counted(words: np.ndarray) -> np.ndarray:
+    """Words of each row so that one that comes again counts as another; 0 stays no word."""
+    order = np.argsort(words, axis=1, kind="stable")
+    word = np.take_along_axis(words, order, 1)
+    new = np.ones(word.shape, bool)
+    new[:, 1:] = word[:, 1:] != word[:, :-1]
+    place = np.arange(words.shape[1])
+    nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    out = np.empty_like(words)
+    np.put_along_axis(out, order, np.maximum(word + (nth * 40503).astype(np.uint16), 1), 1)
+    return np.where(words > 0, out, np.uint16(0))
+
+
+def in_both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No fewer than the words that each row of a and of b, both `counted`, have in common."""
+    both = np.concatenate([a, b], axis=1)
+    both.sort(axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(axis=1)
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most words that the first 0, 1, 2, ... of each row of b match in order in the same row of a, by bits of 64 words at once."""
+    n, size = a.shape
+    limbs = -(-size // 64)
+    state = [np.full(n, 0xFFFFFFFFFFFFFFFF, U64) for _ in range(limbs)]
+    out = np.zeros((n, size + 1), np.int16)
+    equal = np.zeros((n, 64 * limbs), bool)
+    for j in range(size):
+        equal[:, :size] = (a == b[:, j, None]) & (b[:, j, None] > 0)
+        bits = np.packbits(equal, axis=1, bitorder="little").view("<u8")
+        carry = np.zeros(n, U64)
+        for i, v in enumerate(state):
+            u = v & bits[:, i]
+            plain = v + u
+            whole = plain + carry
+            carry = ((plain < u) | (whole < carry)).astype(U64)
+            state[i] = whole | (v & ~u)
+            out[:, j + 1] += 64 - np.bitwise_count(state[i]).astype(np.int16)
+    return out
+
+
+def possible(left: tuple, right: tuple, least: int, identity: float) -> np.ndarray:
+    """Whether a passage over the seed of each pair of holders can be: some words on both sides, together with the seed, have `least` matches in order and are alike; or at least OPEN of them match up to where sight ends and a text goes on. left, right: words of both, nearest first."""
+    wide = left[0].shape[1]
+    words = np.arange(2 * wide + 1) + K
+    need = np.maximum(least, np.ceil(identity * words - 1e-9)).astype(np.int16) - K
+    far = np.ceil(OPEN * words).astype(np.int16)[wide:] - K
+    a, b = in_order(*left), in_order(*right)
+    out = np.zeros(len(a), bool)
+    for p in range(wide + 1):
+        out |= (a[:, p, None] + b >= need[p : p + wide + 1]).any(axis=1)
+    for near, over, (x, y) in ((a, b, right), (b, a, left)):
+        out |= ((x[:, -1] > 0) | (y[:, -1] > 0)) & (near + over[:, -1:] >= far).any(axis=1)
+    return out
+
+
+def _places(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int]) -> DataFrame:
+    """key, place: holders of common seeds (seed, key, pos) that passages found so far don't join, with their classes."""
     asks = common.groupBy("key").agg(F.collect_list(F.struct("seed", "pos")).alias("asks"))
     spans = out.groupBy("key").agg(F.collect_list(F.struct("hub", "start_word", "end_word", "other_start")).alias("spans"))
-    asks = asks.join(spans, "key", "left")
-    sent = spark.sparkContext.broadcast(asked_table(asks.select("key")))
+
+    def deal(batches):
+        """By partition of the seed, packed."""
+        for batch in batches:
+            held = batch.column("asks")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(held.offsets)))
+            seed, pos = (np.asarray(held.flatten().field(c)).astype(np.int64) for c in ("seed", "pos"))
+            order = np.lexsort((seed, pos, row))
+            seed, pos, row = seed[order], pos[order], row[order]
+            fresh = np.ones(len(row), bool)  # a text that stands in the table again is one holder
+            fresh[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1]) | (seed[1:] != seed[:-1])
+            spans_ = [[tuple(s.values()) for s in found or []] for found in batch.column("spans").to_pylist()]
+            places = placed(seed[fresh], pos[fresh], row[fresh], np.asarray(batch.column("key")), spans_)
+            part = (mix(places["seed"].view(U64)) % U64(len(names))).astype(np.int64)
+            order = np.lexsort((places["seed"], part))
+            edge = np.searchsorted(part[order], np.arange(len(names) + 1)).tolist()
+            rows = [(names[n], places[order[a:b]].tobytes()) for n, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "places"])
+
+    def differ(batches):
+        held = [np.frombuffer(x, _PLACE) for batch in batches for x in batch.column("places").to_pylist()]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        del held
+        rows = rows[np.argsort(rows["seed"], kind="stable")]
+        begin = np.flatnonzero(np.concatenate([[True], rows["seed"][1:] != rows["seed"][:-1]]))
+        ends = np.append(begin[1:], len(rows))
+        least, most = ({c: f.reduceat(rows[c], begin) for c in ("label", "at", "before")} for f in (np.minimum, np.maximum))
+        joined = (least["label"] == most["label"]) & (most["at"] - least["at"] <= DRIFT) | (least["before"] == most["before"]) & (most["before"] > 0)
+        for a, b in zip(begin[~joined].tolist(), ends[~joined].tolist(), strict=True):
+            own = classes(rows[a:b])
+            if not one_class(own):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own["key"])), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "place"])
+
+    dealt = asks.join(spans, "key", "left").mapInArrow(deal, "part int, places binary").repartition(width(base.sparkSession), "part")
+    return written(dealt.mapInArrow(differ, "key long, place binary"), "places")
+
+
+def _blocks(base: DataFrame, places: DataFrame, sight: int, wide: int) -> DataFrame:
+    """seed, nth, a, b: blocks of holders to be held against each other, with what stands around them; b is null for a block and itself."""
+    spark = base.sparkSession
+    asks = places.groupBy("key").agg(F.collect_list("place").alias("asks"))
+    sent = spark.sparkContext.broadcast(asked_table(places.select("key")))
+    kind = _holder(wide)
 
     def asked(batches):
         for batch in batches:
@@ -789,25 +923,24 @@ def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int],
         for whole in batches:
             for batch in pieces(whole):
                 words = Words(batch.column("text"))
-                seen, rows = [], []
-                for r, (key, own, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "asks", "spans")), strict=True)):
+                rows = []
+                for r, own in enumerate(batch.column("asks").to_pylist()):
                     hashes = words.hash[words.first[r] : words.first[r + 1]]
-                    own = [(q["seed"], q["pos"]) for q in own if q["pos"] + K <= len(hashes)]
-                    if own:
-                        seed, pos = np.array(sorted(own, key=lambda q: q[1]), np.int64).T
-                        seen.append(seed)
-                        rows.append(holders(hashes, seed, pos, key, [tuple(s.values()) for s in found or []], sight))
+                    own = np.frombuffer(b"".join(own), _PLACE)
+                    own = own[own["pos"] + K <= len(hashes)]  # else of another text with the same key
+                    if len(own):
+                        rows.append(seen(own, hashes, sight, wide))
                 if rows:
                     rows = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen)), pa.array([x.tobytes() for x in rows], pa.binary())], ["seed", "holder"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["seed"])), pa.array([x.tobytes() for x in rows], pa.binary())], ["seed", "holder"])
 
-    def work(batches):
-        """Blocks of holders to be held against each other; rows of a seed come together."""
+    def deal(batches):
+        """Rows of a seed come together."""
         seed, held = None, []
 
-        def deal():
-            rows = classes(np.frombuffer(b"".join(held), _HOLDER).copy())
-            if (rows["label"] == rows["label"][0]).all() and np.ptp(rows["at"]) <= DRIFT or rows["before"][0] and rows["before"][0] == rows["before"][-1]:
+        def cut():
+            rows = classes(np.frombuffer(b"".join(held), kind).copy())
+            if one_class(rows):
                 return
             blocks_ = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
             for i, x in enumerate(blocks_):
@@ -818,34 +951,64 @@ def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int],
         for batch in batches:
             for s, holder in zip(batch.column("seed").to_pylist(), batch.column("holder").to_pylist(), strict=True):
                 if s != seed and held:
-                    yield from deal()
+                    yield from cut()
                     held = []
                 seed = s
                 held.append(holder)
         if held:
-            yield from deal()
+            yield from cut()
 
-    def meet(batches):
-        found, count = [], 0
+    texts = base.select("key", "text").mapInArrow(asked, "key long, text string").dropDuplicates(["key"])
+    held = texts.join(asks, "key").mapInArrow(around, "seed long, holder binary").repartition(width(spark), "seed").sortWithinPartitions("seed")
+    return held.mapInArrow(deal, "seed long, nth int, a binary, b binary").repartition(width(spark), "seed", "nth")
+
+
+def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int], least: int, identity: float) -> DataFrame:
+    """Links between holders of common seeds (seed, key, pos) that passages found so far don't join, and that neither digests nor the words on both sides rule out."""
+    half, longest = (least - K) // 2, int(least / identity + 1e-9)
+    sight, wide = half + longest - least, -(-2 * longest // 64) * 64
+
+    def pairs(batches, wide):
+        kind = _holder(wide)
         for batch in batches:
             for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x = np.frombuffer(x, _HOLDER)
-                y = None if y is None else np.frombuffer(y, _HOLDER)
-                for u, v in near_pairs(x, y, half):
-                    u, v = x[u], (x if y is None else y)[v]
-                    swap = u["key"] < v["key"]
-                    found.append(tuple(np.where(swap, p, q) for p, q in ((v["key"], u["key"]), (u["key"], v["key"]), (v["pos"].astype(np.int32), u["pos"].astype(np.int32)), (u["pos"].astype(np.int32), v["pos"].astype(np.int32)))))
-                    count += len(u)
-                    if count >= 1 << 20:
-                        yield from _packets(*(np.concatenate(c) for c in zip(*found, strict=True)), names)
-                        found, count = [], 0
-        if found:
-            yield from _packets(*(np.concatenate(c) for c in zip(*found, strict=True)), names)
+                x = np.frombuffer(x, kind)
+                y = None if y is None else np.frombuffer(y, kind)
+                yield x, x if y is None else y, near_pairs(x, y, half)
+
+    def near(batches):
+        """Places of holders that digests leave with another."""
+        for x, y, found in pairs(batches, 0):
+            left = np.zeros(len(x), bool), np.zeros(len(y), bool)
+            for u, v in found:
+                left[0][u] = left[1][v] = True
+            rows = np.concatenate([z[[c for c, _ in _PLACE]][m].astype(_PLACE) for z, m in zip((x, y), left, strict=True)])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["key"])), pa.array([z.tobytes() for z in rows], pa.binary())], ["key", "place"])
 
-    texts = base.select("key", "text").mapInArrow(asked, "key long, text string").dropDuplicates(["key"])
-    held = texts.join(asks, "key").mapInArrow(around, "seed long, holder binary").repartition(width(spark), "seed").sortWithinPartitions("seed")
-    dealt = held.mapInArrow(work, "seed long, nth int, a binary, b binary").repartition(width(spark), "seed", "nth")
-    return dealt.mapInArrow(meet, _LINKS_SQL)
+    def meet(batches):
+        links_, count = [], 0
+        for x, y, found in pairs(batches, wide):
+            sides = slice(0, wide), slice(wide, 2 * wide)
+            once = [(counted(x["words"][:, s]), counted(y["words"][:, s])) for s in sides]
+            for u, v in found:
+                may = np.concatenate([np.flatnonzero(K + sum(in_both(a[u[i : i + 4096]], b[v[i : i + 4096]]) for a, b in once) >= least) + i for i in range(0, len(u), 4096)] or [u])
+                for i in range(0, len(may), 1024):
+                    p, q = x[u[may[i : i + 1024]]], y[v[may[i : i + 1024]]]
+                    good = possible(*((p["words"][:, s], q["words"][:, s]) for s in sides), least, identity)
+                    p, q = p[good], q[good]
+                    p, q = np.where(p["key"] < q["key"], q, p), np.where(p["key"] < q["key"], p, q)
+                    links_.append((p["key"], q["key"], p["pos"].astype(np.int32), q["pos"].astype(np.int32)))
+                    count += len(p)
+                if count >= 1 << 20:
+                    yield from _packets(*(np.concatenate(c) for c in zip(*links_, strict=True)), names)
+                    links_, count = [], 0
+        if links_:
+            yield from _packets(*(np.concatenate(c) for c in zip(*links_, strict=True)), names)
+
+    places = _places(base, common, out, names)
+    left = written(_blocks(base, places, sight, 0).mapInArrow(near, "key long, place binary").distinct(), "near")
+    return _blocks(base, left, sight, wide).mapInArrow(meet, _LINKS_SQL)
 
 
 def _aligned(base: DataFrame, chained: DataFrame, least: int, identity: float, reach: int) -> DataFrame:

@@ -420,3 +420,43 @@ def test_hot_seeds_give_the_same_passages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     plain, hot, some = (sorted(map(str, substring_dedup.repeated_passages(df, hot=n).collect())) for n in (10**6, 0, 20))
     assert plain == hot == some and len(plain) > 40
+
+
+def test_texts_that_share_too_short_a_run_are_no_chains(spark, monkeypatch):
+    """Sixty texts hold one run of 30 words between words of their own; two of them share 40 more, edited, on both sides of it."""
+    rng = random.Random(51)
+    run, before, after = fresh_words(rng, 30), fresh_words(rng, 20), fresh_words(rng, 20)
+    rows = [fresh_words(rng, 90) + run + fresh_words(rng, 90) for _ in range(58)]
+    edited = lambda w: ["changed" if k % 8 == 4 else x for k, x in enumerate(w)]
+    rows += [fresh_words(rng, 50) + before + run + after + fresh_words(rng, 50), fresh_words(rng, 70) + edited(before) + run + edited(after) + fresh_words(rng, 60)]
+    chains, real = [], substring_dedup.written
+
+    def counted(df, what, *more):
+        out = real(df, what, *more)
+        chains.extend([out.count()] if what == "chains" else [])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", counted)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    assert {frozenset((r.doc_id, r.other_id)) for r in substring_dedup.repeated_passages(df).collect()} == {frozenset((58, 59))}
+    assert sum(chains) < 200  # 1,770 pairs
+
+
+def test_words_in_sight_rule_out_no_passage():
+    rng = np.random.default_rng(52)
+    for _ in range(100):
+        one, two = rng.integers(1, 30, (2, 128)).astype(np.uint16)
+        best = substring_dedup.in_order(one[None], two[None])[0]
+        assert [int(best[p]) for p in (0, 1, 63, 64, 65, 128)] == [substring_dedup.matched(one, two[:p]) for p in (0, 1, 63, 64, 65, 128)]
+        assert substring_dedup.in_both(*(substring_dedup.counted(w[None]) for w in (one, two)))[0] >= best[-1]
+    for _ in range(200):  # 6 words of a seed, p and q beside it, one in five amiss at most, matched words 50 or more
+        p = int(rng.integers(0, 57))
+        q = int(rng.integers(56 - p, 129))
+        amiss = min(p + q - 44, (p + q + 6) // 5)
+        sides = [(np.zeros((1, 128), np.uint16), np.zeros((1, 128), np.uint16)) for _ in range(2)]
+        out = rng.choice(p + q, int(rng.integers(0, amiss + 1)), replace=False)
+        for (x, y), n, first in ((sides[0], p, 0), (sides[1], q, p)):
+            x[0, :n] = rng.permutation(60000)[:n] + 1
+            y[0, :n] = x[0, :n]
+            y[0, [k - first for k in out if first <= k < first + n]] = 65000
+        assert substring_dedup.possible(*sides, 50, 0.8).all()
