@@ -99,15 +99,31 @@ def seeds(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, n
     return h, row, at - words.first[row]
 
 
-def going_on(words: Words, at: np.ndarray, row: np.ndarray, length: int, bits: int) -> np.ndarray:
-    """Some bits, never all zero, of the run of `length` words from each word `at`; 0 where the text ends sooner."""
-    out = np.zeros(len(at), np.uint32)
-    whole = np.flatnonzero(at + length <= words.first[row + 1])
-    if len(whole):
-        out[whole] = np.maximum(run_hash(words.hash, length)[at[whole]] >> U64(64 - bits), U64(1)).astype(np.uint32)
+def going_on(words: Words, at: np.ndarray, row: np.ndarray, kinds: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
+    """For each (length, bits) some bits, never all zero, of the run of `length` words from each word `at`, as `run_hash` has it; 0 where the text ends sooner. Runs share their halves."""
+    whole = [np.flatnonzero(at + length <= words.first[row + 1]) for length, _ in kinds]
+    have, part, done, runs = 1, words.hash, [0] * len(kinds), [None] * len(kinds)
+    while have <= max(length for length, _ in kinds):
+        for i, (length, _) in enumerate(kinds):
+            if length & have:
+                own = part[at[whole[i]] + done[i]]
+                runs[i] = own if runs[i] is None else mix(runs[i] * U64(0xFF51AFD7ED558CCD) + own)
+                done[i] += have
+        n = max(len(part) - have, 0)
+        part = mix(part[:n] * U64(0xC2B2AE3D27D4EB4F) + part[have : have + n])
+        have *= 2
+    out = []
+    for i, (_, bits) in enumerate(kinds):
+        some = np.zeros(len(at), np.uint32)
+        some[whole[i]] = np.maximum(runs[i] >> U64(64 - bits), U64(1)).astype(np.uint32)
+        out.append(some)
     return out
 
 
+def _goings(least: int) -> tuple[tuple[int, int], ...]:
+    return (K + LONGER[0], 16), (K + LONGER[1], 16), (least, 24)
+
+
 #: Seeds of a batch that meet in one partition, in order of their hash: keys of the texts, then for each seed the number of its text, its hash, how it goes on (long, longer, least) and its place. Bytes of equal weight stand together, which compresses better.
 _POST = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("seeds", pa.binary())])
 _POST_SQL = "part int, n int, keys binary, seeds binary"
@@ -187,7 +203,7 @@ def _post_hot(least: int, hot):
                 h, row, pos = h[here], row[here], pos[here]
                 at = words.first[row] + pos
                 keys = np.asarray(batch.column("key"))
-                going = [going_on(words, at, row, n, bits).astype(np.int32) for n, bits in ((K + LONGER[0], 16), (K + LONGER[1], 16), (least, 24))]
+                going = [g.astype(np.int32) for g in going_on(words, at, row, _goings(least))]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(g) for g in going), pa.array(keys[row]), pa.array(pos.astype(np.int32))], ["seed", "long", "longer", "least", "key", "pos"])
 
     return go
@@ -227,20 +243,27 @@ def _pack_hot(parts: list[int]):
 
 
 def _post(parts: list[int], least: int, hot=None):
+    names = ("row", "h", "long", "longer", "least", "pos")
+
     def go(batches):
         for whole in batches:
             for batch in pieces(whole, most=1 << 22):
-                words = Words(batch.column("text"))
-                h, row, pos = seeds(words)
-                cold = ~_is_hot(h, hot)
-                h, row, pos = h[cold], row[cold], pos[cold]
-                if not len(h):
+                found, before = [], 0
+                for piece in pieces(batch):  # arrays of this size are used again, larger ones are fresh pages each time
+                    words = Words(piece.column("text"))
+                    h, row, pos = seeds(words)
+                    cold = ~_is_hot(h, hot)
+                    h, row, pos = h[cold], row[cold], pos[cold]
+                    if len(h):
+                        found.append((row + before, h, *going_on(words, words.first[row] + pos, row, _goings(least)), pos))
+                    before += piece.num_rows
+                if not found:
                     continue
-                at = words.first[row] + pos
+                columns = dict(zip(names, (np.concatenate(c) for c in zip(*found, strict=True)), strict=True))
+                h = columns.pop("h")
                 part = ((h >> U64(40)) % U64(len(parts))).astype(np.int64)
-                own = h & U64((1 << 40) - 1)
-                order = np.lexsort((own, part))
-                columns = {"row": row, "seed": own, "long": going_on(words, at, row, K + LONGER[0], 16), "longer": going_on(words, at, row, K + LONGER[1], 16), "least": going_on(words, at, row, least, 24), "pos": pos}
+                columns["seed"] = h & U64((1 << 40) - 1)
+                order = np.argsort(part.astype(U64) << U64(40) | columns["seed"], kind="stable")
                 columns = {c: v[order] for c, v in columns.items()}
                 edge = np.searchsorted(part[order], np.arange(len(parts) + 1))
                 keys, out = np.asarray(batch.column("key")), []
@@ -473,6 +496,11 @@ def _chain(least: int = CHAINED):
         order = np.lexsort((y, x, hub, key))
         key, hub, x, y = (c[order] for c in (key, hub, x, y))
         first, count = _pairs(key, hub)
+        if len(first):  # blocks of a chain don't share words, so all have no more words than the links
+            step = np.minimum(np.diff(x, append=x[-1:] + K), K)
+            step[first[1:] - 1] = K
+            enough = np.add.reduceat(step, first) >= least
+            first, count = first[enough], count[enough]
         rows = []
         for a, n in zip(first.tolist(), count.tolist(), strict=True):
             rows += chained(int(key[a]), int(hub[a]), x[a : a + n], y[a : a + n])
@@ -491,11 +519,14 @@ def matched(a: np.ndarray, b: np.ndarray) -> int:
         return len(a)
     if not len(a) or not len(b):
         return 0
-    row = np.zeros(len(b) + 1, np.int64)
-    for w in a:
-        take = np.concatenate([[0], row[:-1] + (b == w)])
-        row = np.maximum.accumulate(np.maximum(row, take))
-    return int(row[-1])
+    at: dict[int, int] = {}
+    for i, w in enumerate(b.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    state = whole = (1 << len(b)) - 1  # a bit is 0 where one more word of b matches
+    for w in a.tolist():
+        if u := state & at.get(w, 0):
+            state = (state + u | state - u) & whole
+    return len(b) - state.bit_count()
 
 
 def alike(x: list[int], y: list[int], size: list[int], between: list[int], identity: float = IDENTITY) -> list[tuple[int, int]]:
@@ -523,36 +554,31 @@ REACH, REACH_MORE = 32, 16
 AMISS = 13
 
 
-def extend(u: np.ndarray, v: np.ndarray, have: int = 0, size: int = 0) -> tuple[int, int, int]:
+def extend(u: list[int], v: list[int], have: int = 0, size: int = 0) -> tuple[int, int, int]:
     """Words to go on in u and v, past words that were changed, put in or left out, with at most one in five amiss at the place it stops, and the matching ones; what is before has `have` of `size` words right."""
     i = j = hit = 0
     best = (0, 0, 0)
     while True:
-        n = min(len(u) - i, len(v) - j)
-        look = 16
-        while True:  # length of the equal run
-            same = u[i : i + min(look, n)] == v[j : j + min(look, n)]
-            if look >= n or not same.all():
-                break
-            look *= 4
-        run = len(same) if same.all() else int(same.argmin())
+        n, run, look = min(len(u) - i, len(v) - j), 0, 16
+        while run < n and u[i + run : i + min(run + look, n)] == v[j + run : j + min(run + look, n)]:  # length of the equal run
+            run, look = min(run + look, n), look * 4
+        while run < n and u[i + run] == v[j + run]:
+            run += 1
         i, j, hit = i + run, j + run, hit + run
         if hit > best[2] and (have + hit) * 5 >= 4 * (size + max(i, j)):
             best = (i, j, hit)
         p, q = u[i : i + AMISS], v[j : j + AMISS]
-        if not len(p) or not len(q) or max(i, j) - hit > AMISS + (have + hit) // 4:
+        if not p or not q or max(i, j) - hit > AMISS + (have + hit) // 4:
             return best
-        grid = p[:, None] == q
-        sure = grid.copy()
-        sure[:-1, :-1] &= grid[1:, 1:]
-        side = np.arange(min(grid.shape))
-        sure[side, side] = grid[side, side]
-        at = np.flatnonzero(sure)
-        if not len(at):
+        if held := set(p).intersection(q):
+            last, end = len(p) - 1, len(q) - 1
+            near = min(
+                ((max(x, y) * 2 * AMISS + abs(x - y), x, y) for x, w in enumerate(p) if w in held for y, z in enumerate(q) if w == z and (x == y or x == last or y == end or p[x + 1] == q[y + 1])),
+                default=None,
+            )
+        if not held or near is None:
             return best
-        x, y = at // grid.shape[1], at % grid.shape[1]
-        near = int((np.maximum(x, y) * 2 * AMISS + np.abs(x - y)).argmin())
-        i, j = i + int(x[near]), j + int(y[near])
+        i, j = i + near[1], j + near[2]
 
 
 def passages(x, y, size, gaps_a, gaps_b, more, least: int = LEAST, identity: float = IDENTITY):
@@ -566,7 +592,7 @@ def passages(x, y, size, gaps_a, gaps_b, more, least: int = LEAST, identity: flo
     for first, last in alike(x, y, size, between, identity):
         count = sum(size[first : last + 1]) + sum(between[first:last])
         s, t, e, u = x[first], y[first], x[last] + size[last], y[last] + size[last]
-        left, right = (gaps_a[first][::-1], gaps_b[first][::-1]), (gaps_a[last + 1], gaps_b[last + 1])
+        left, right = ([g[first][::-1].tolist() for g in (gaps_a, gaps_b)], [g[last + 1].tolist() for g in (gaps_a, gaps_b)])
         for whole in (False, True):
             e_a, e_b, e_hit = extend(*right, count if whole else 0, max(e - s, u - t) if whole else 0)
             have, span = count + e_hit, max(e + e_a - s, u + e_b - t)
@@ -595,17 +621,17 @@ def _cut(reach: int):
         for whole in batches:
             for batch in pieces(whole):
                 words = Words(batch.column("text"))
-                rows = []
+                raw, rows = words.hash.astype(np.uint32).tobytes(), []
                 for r, (key, doc_id, asks) in enumerate(zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
-                    h, a, b = words.hash, int(words.first[r]), int(words.first[r + 1])
+                    a, b = int(words.first[r]), int(words.first[r + 1])
                     for q in asks:
                         cuts = [c for p, n in zip(q["at"], q["size"], strict=True) for c in (p, p + n)]
                         if cuts[-1] > b - a:
                             continue  # another text with the same key
                         low, high = max(0, cuts[0] - reach), min(b - a, cuts[-1] + reach)
                         edge = [low, *cuts, high]
-                        own = np.concatenate([h[a + edge[i] : a + edge[i + 1]] for i in range(0, len(edge), 2)])
-                        rows.append((q["chain"], q["side"], key, doc_id, cuts, cuts[0] - low, high - cuts[-1], low > 0, high < b - a, own.astype(np.uint32).tobytes()))
+                        own = b"".join([raw[4 * (a + edge[i]) : 4 * (a + edge[i + 1])] for i in range(0, len(edge), 2)])
+                        rows.append((q["chain"], q["side"], key, doc_id, cuts, cuts[0] - low, high - cuts[-1], low > 0, high < b - a, own))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIDE, strict=True)], schema=_SIDE)
 
@@ -618,15 +644,43 @@ _PASSAGES = ", ".join(f"{c} long" for c in _PASSAGE_NAMES[:-1]) + ", identity do
 
 def _gaps(side: dict) -> list[np.ndarray]:
     words, cuts = np.frombuffer(side["words"], np.uint32), side["cuts"]
-    sizes = [side["left"], *(b - a for a, b in zip(cuts[1:-1:2], cuts[2::2], strict=True)), side["right"]]
-    return np.split(words, np.cumsum(sizes)[:-1])
+    out, at = [], 0
+    for size in (side["left"], *(b - a for a, b in zip(cuts[1:-1:2], cuts[2::2], strict=True)), side["right"]):
+        out.append(words[at : at + size])
+        at += size
+    return out
 
 
 def _align(least: int, identity: float):
     """Both sides of a chain come one after the other."""
     kinds = (pa.int64(),) * 7 + (pa.float64(), pa.bool_(), pa.int64(), pa.int64())
 
+    def hopeless(a: dict, b: dict) -> bool:
+        """Whether too few words can match, and none up to the edge of sight. A word that stands once on a side counts however often it stands on the other."""
+        if max(a["left"], a["right"], b["left"], b["right"]) > REACH:
+            return False
+        u, v, count = a["words"], b["words"], 0
+        cuts, other = a["cuts"], b["cuts"]
+        for p, q, r, t in zip(cuts[1::2], cuts[2::2], other[1::2], other[2::2], strict=False):
+            count += min(q - p, t - r)
+        for p, q in zip(cuts[::2], cuts[1::2], strict=True):
+            count += q - p
+        for side in ("left", "right"):
+            m, n = a[side], b[side]
+            if m and n:
+                p, q = (np.frombuffer(w, np.uint32, k, 0 if side == "left" else len(w) - 4 * k).tolist() for w, k in ((u, m), (v, n)))
+                held = set(q)
+                both = sum(w in held for w in p)
+                if 5 * both >= 4 * min(m, n):
+                    return False
+                count += min(both, n)
+            elif not m and a[f"more_{side}"] or not n and b[f"more_{side}"]:
+                return False
+        return count < least
+
     def one(a: dict, b: dict):
+        if hopeless(a, b):
+            return []
         x, y, size = a["cuts"][::2], b["cuts"][::2], [q - p for p, q in zip(a["cuts"][::2], a["cuts"][1::2], strict=True)]
         found = list(passages(x, y, size, _gaps(a), _gaps(b), (a["more_left"], b["more_left"], a["more_right"], b["more_right"]), least, identity))
         if None in found:
@@ -704,7 +758,7 @@ _PLACE = [("seed", np.int64), ("key", np.int64), ("pos", np.int64), ("label", np
 
 
 def _holder(wide: int) -> np.dtype:
-    """Holders with what stands around them. left, right: words in sight; digest: of those on the left, then of those on the right; words: 16 bits of each of `wide` words on the left, nearest first, then on the right, 0 where the text ends."""
+    """Holders with what stands around them. left, right: words in sight; digest: of those on the left, then of those on the right; words: 16 bits of each of `wide` words on the left, nearest first, then on the right, above 1, and 0 where the text ends."""
     return np.dtype([*_PLACE, ("left", np.int64), ("right", np.int64), ("digest", (np.uint64, 2 * DIGEST // 64)), ("words", np.uint16, (2 * wide,))])
 
 
@@ -741,25 +795,26 @@ def placed(seed: np.ndarray, pos: np.ndarray, row: np.ndarray, keys: np.ndarray,
     return out
 
 
-def seen(places: np.ndarray, hashes: np.ndarray, sight: int, wide: int) -> np.ndarray:
-    """Holders at these places of a text."""
-    pos = places["pos"]
-    low, high = np.maximum(pos - sight, 0), np.minimum(pos + K + sight, len(hashes))
-    out = np.zeros(len(pos), _holder(wide))
+def seen(places: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, sight: int, wide: int) -> np.ndarray:
+    """Holders at these places of texts whose words stand from first to last in hashes."""
+    at = first + places["pos"]
+    low, high = np.maximum(at - sight, first), np.minimum(at + K + sight, last)
+    out = np.zeros(len(at), _holder(wide))
     for name, _ in _PLACE:
         out[name] = places[name]
-    out["left"], out["right"] = pos - low, high - pos - K
-    out["digest"] = np.concatenate([_digest(hashes, low, sight, pos), _digest(hashes, pos + K, sight, high)], axis=1)
+    out["left"], out["right"] = at - low, high - at - K
+    out["digest"] = np.concatenate([_digest(hashes, low, sight, at), _digest(hashes, at + K, sight, high)], axis=1)
     if wide:
-        short = np.maximum(hashes >> U64(48), U64(1)).astype(np.uint16)
-        at = np.concatenate([pos[:, None] - 1 - np.arange(wide), pos[:, None] + K + np.arange(wide)], axis=1)
-        out["words"] = np.where((at >= 0) & (at < len(hashes)), short[np.clip(at, 0, len(hashes) - 1)], 0)
+        word = np.concatenate([at[:, None] - 1 - np.arange(wide), at[:, None] + K + np.arange(wide)], axis=1)
+        short = np.maximum(hashes[np.clip(word, 0, len(hashes) - 1)] >> U64(48), U64(2)).astype(np.uint16)
+        out["words"] = np.where((word >= first[:, None]) & (word < last[:, None]), short, 0)
     return out
 
 
 def holders(hashes: np.ndarray, seed: np.ndarray, pos: np.ndarray, key: int, spans: list, sight: int, wide: int = 0) -> np.ndarray:
     """Holders of the common seeds at `pos` (ascending) of a text."""
-    return seen(placed(seed, pos, np.zeros(len(pos), np.int64), np.array([key]), [spans]), hashes, sight, wide)
+    none = np.zeros(len(pos), np.int64)
+    return seen(placed(seed, pos, none, np.array([key]), [spans]), hashes, none, none + len(hashes), sight, wide)
 
 
 def one_class(rows: np.ndarray) -> bool:
@@ -783,8 +838,9 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, half: int):
     """Places in a and b (None: a itself, each pair once) of holders of different classes that can share `half` words on one side. Those with the same seed before meet there."""
     whole, planes = b is None, DIGEST // 64
     b = a if whole else b
-    for i in range(0, len(a), 256):
-        x = a[i : i + 256]
+    step = 64  # arrays that fit a core's cache
+    for i in range(0, len(a), step):
+        x = a[i : i + step]
         j = i if whole else 0
         if x["before"][0] and x["before"][0] == x["before"][-1]:
             j = max(j, int(np.searchsorted(b["before"], x["before"][0], "right")))
@@ -795,18 +851,22 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, half: int):
             continue
         near = np.zeros((len(x), len(y)), bool)
         for side, first in (("left", 0), ("right", planes)):
-            far = np.zeros(near.shape, np.uint16)
-            for p in range(first, first + planes):
-                far += np.bitwise_count(x["digest"][:, p, None] ^ y["digest"][None, :, p])
-            room = x[side][:, None] + y[side][None, :] - 2 * half
-            near |= (far <= room) & (x[side] >= half)[:, None] & (y[side] >= half)[None, :]
-        near &= (x["label"][:, None] != y["label"][None, :]) | (np.abs(x["at"][:, None] - y["at"][None, :]) > DRIFT)
-        near &= (x["before"][:, None] != y["before"][None, :]) | (x["before"] == 0)[:, None]
-        near &= x["key"][:, None] != y["key"][None, :]
-        if whole:
+            own, other = (np.flatnonzero(z[side] >= half) for z in (x, y))
+            if not len(own) or not len(other):
+                continue
+            far = np.zeros((len(own), len(other)), np.int16)
+            p, q = x["digest"][own], y["digest"][other]
+            for n in range(first, first + planes):
+                far += np.bitwise_count(p[:, n, None] ^ np.ascontiguousarray(q[:, n]))
+            far -= (x[side][own] - 2 * half).astype(np.int16)[:, None]
+            near[np.ix_(own, other)] |= far <= y[side][other].astype(np.int16)
+        if whole and j - i < len(x):
             near &= np.arange(len(x))[:, None] + i < np.arange(len(y))[None, :] + j
         u, v = np.nonzero(near)
-        yield u + i, v + j
+        of = lambda c: (x[c][u], y[c][v])  # noqa: B023, E731
+        (p, q), (s, t), (e, f) = of("label"), of("at"), of("before")
+        good = ((p != q) | (np.abs(s - t) > DRIFT)) & ((e != f) | (e == 0)) & np.not_equal(*of("key"))
+        yield u[good] + i, v[good] + j
 
 
 def counted(words: np.ndarray) -> np.ndarray:
@@ -834,11 +894,12 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n, size = a.shape
     limbs = -(-size // 64)
     state = [np.full(n, 0xFFFFFFFFFFFFFFFF, U64) for _ in range(limbs)]
-    out = np.zeros((n, size + 1), np.int16)
+    out = np.zeros((size + 1, n), np.int16)
     equal = np.zeros((n, 64 * limbs), bool)
+    a, b = np.ascontiguousarray(a), np.ascontiguousarray(np.maximum(b, 1).T)  # no word of one is none of the other
     for j in range(size):
-        equal[:, :size] = (a == b[:, j, None]) & (b[:, j, None] > 0)
-        bits = np.packbits(equal, axis=1, bitorder="little").view("<u8")
+        np.equal(a, b[j][:, None], out=equal[:, :size])
+        bits = np.packbits(equal.reshape(-1), bitorder="little").view("<u8").reshape(n, limbs)
         carry = np.zeros(n, U64)
         for i, v in enumerate(state):
             u = v & bits[:, i]
@@ -846,8 +907,8 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             whole = plain + carry
             carry = ((plain < u) | (whole < carry)).astype(U64)
             state[i] = whole | (v & ~u)
-            out[:, j + 1] += 64 - np.bitwise_count(state[i]).astype(np.int16)
-    return out
+            out[j + 1] += np.bitwise_count(~state[i])
+    return out.T
 
 
 def possible(left: tuple, right: tuple, least: int, identity: float) -> np.ndarray:
@@ -923,15 +984,14 @@ def _blocks(base: DataFrame, places: DataFrame, sight: int, wide: int) -> DataFr
         for whole in batches:
             for batch in pieces(whole):
                 words = Words(batch.column("text"))
-                rows = []
-                for r, own in enumerate(batch.column("asks").to_pylist()):
-                    hashes = words.hash[words.first[r] : words.first[r + 1]]
-                    own = np.frombuffer(b"".join(own), _PLACE)
-                    own = own[own["pos"] + K <= len(hashes)]  # else of another text with the same key
-                    if len(own):
-                        rows.append(seen(own, hashes, sight, wide))
-                if rows:
-                    rows = np.concatenate(rows)
+                asked_ = batch.column("asks").to_pylist()
+                own = np.frombuffer(b"".join(x for a in asked_ for x in a), _PLACE)
+                row = np.repeat(np.arange(len(asked_)), [len(a) for a in asked_])
+                good = own["pos"] + K <= words.count[row]  # else of another text with the same key
+                own, row = own[good], row[good]
+                for i in range(0, len(own), 4096):
+                    of = row[i : i + 4096]
+                    rows = seen(own[i : i + 4096], words.hash, words.first[of], words.first[of + 1], sight, wide)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["seed"])), pa.array([x.tobytes() for x in rows], pa.binary())], ["seed", "holder"])
 
     def deal(batches):
@@ -986,23 +1046,43 @@ def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int],
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["key"])), pa.array([z.tobytes() for z in rows], pa.binary())], ["key", "place"])
 
+    def roomy(x, y, found):
+        """u, v of found that leave room for a passage."""
+        sides = slice(0, wide), slice(wide, 2 * wide)
+        once = [(counted(x["words"][:, s]), counted(y["words"][:, s])) for s in sides]
+        held, count = [], 0
+
+        def tell():
+            u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            for i in range(0, len(u), 512):
+                p, q = u[i : i + 512], v[i : i + 512]
+                good = possible(*((x["words"][p, s], y["words"][q, s]) for s in sides), least, identity)
+                yield p[good], q[good]
+
+        for us, vs in found:
+            for i in range(0, len(us), 4096):
+                u, v = us[i : i + 4096], vs[i : i + 4096]
+                may = K + sum(in_both(a[u], b[v]) for a, b in once) >= least
+                held.append((u[may], v[may]))
+                count += int(may.sum())
+                if count >= 4096:
+                    yield from tell()
+                    held, count = [], 0
+        if count:
+            yield from tell()
+
     def meet(batches):
         links_, count = [], 0
         for x, y, found in pairs(batches, wide):
-            sides = slice(0, wide), slice(wide, 2 * wide)
-            once = [(counted(x["words"][:, s]), counted(y["words"][:, s])) for s in sides]
-            for u, v in found:
-                may = np.concatenate([np.flatnonzero(K + sum(in_both(a[u[i : i + 4096]], b[v[i : i + 4096]]) for a, b in once) >= least) + i for i in range(0, len(u), 4096)] or [u])
-                for i in range(0, len(may), 1024):
-                    p, q = x[u[may[i : i + 1024]]], y[v[may[i : i + 1024]]]
-                    good = possible(*((p["words"][:, s], q["words"][:, s]) for s in sides), least, identity)
-                    p, q = p[good], q[good]
-                    p, q = np.where(p["key"] < q["key"], q, p), np.where(p["key"] < q["key"], p, q)
-                    links_.append((p["key"], q["key"], p["pos"].astype(np.int32), q["pos"].astype(np.int32)))
-                    count += len(p)
-                if count >= 1 << 20:
-                    yield from _packets(*(np.concatenate(c) for c in zip(*links_, strict=True)), names)
-                    links_, count = [], 0
+            for u, v in roomy(x, y, found):
+                p, q = ([z[c][w] for c in ("key", "pos")] for z, w in ((x, u), (y, v)))
+                swap = p[0] < q[0]
+                (k, at), (hub, hub_at) = ([np.where(swap, t, s) for s, t in zip(e, f, strict=True)] for e, f in ((p, q), (q, p)))
+                links_.append((k, hub, at.astype(np.int32), hub_at.astype(np.int32)))
+                count += len(u)
+            if count >= 1 << 20:
+                yield from _packets(*(np.concatenate(c) for c in zip(*links_, strict=True)), names)
+                links_, count = [], 0
         if links_:
             yield from _packets(*(np.concatenate(c) for c in zip(*links_, strict=True)), names)
 
@@ -1024,7 +1104,7 @@ def _aligned(base: DataFrame, chained: DataFrame, least: int, identity: float, r
         for batch in batches:
             yield batch.filter(pa.array(holds(sent.value, np.asarray(batch.column("key")))))
 
-    named = base.withColumn("other", F.xxhash64(F.lit(1), "text")).mapInArrow(asked, "key long, doc_id long, text string, other long").dropDuplicates(["key", "doc_id", "other"])
+    named = base.mapInArrow(asked, "key long, doc_id long, text string").withColumn("other", F.xxhash64(F.lit(1), "text")).dropDuplicates(["key", "doc_id", "other"])
     sides = named.join(asks, "key").select("key", "doc_id", "text", "asks").mapInArrow(_cut(reach), _SIDE_SQL)
     met = sides.repartition(width(spark), "chain").sortWithinPartitions("chain", "side")
     return written(met.mapInArrow(_align(least, identity), _PASSAGES), "passages")
