@@ -25,8 +25,10 @@
    held against each other by digests of the words on both sides: a passage of `LEAST` matched words
    leaves half of those outside the seed on one side of it, with all that may be amiss. Pairs that digests
    don't rule out are held against each other by the words beside the seed, as far as a passage of twice
-   the length can reach: the most that match in order must leave room for a passage. The rest goes through
-   3 and 4, there without CHAINED. However many texts hold a seed, so, two that
+   the length can reach: the most that match in order must leave room for a passage in both texts. Pairs
+   whose words, extended as in 4, surely hold one join their classes and are aligned by that seed alone;
+   of two classes that are joined no other pair is looked at. The rest goes through 3 and 4, there without
+   CHAINED. However many texts hold a seed, so, two that
    share a passage of `LEAST` words over it have a row or are in one class. Not looked for: longer
    passages with more amiss than that on both sides of each common seed, and those that go on out of sight
    with less than `OPEN` of the words there matching beside each common seed. Digests are
@@ -67,6 +69,8 @@ HOT = 1_000_000
 GAP, CHAINED = 256, 9
 #: Bits of a digest, holders in a block, and how far two places of a hub may lie apart that passages over one seed lead to.
 DIGEST, BLOCK, DRIFT = 256, 2048, 64
+#: Bits of a digest of all words in sight on one side.
+PARITIES = 4096
 
 
 def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -614,8 +618,8 @@ _SIDE = pa.schema([("chain", pa.int64()), ("side", pa.int32()), ("key", pa.int64
 _SIDE_SQL = "chain long, side int, key long, doc_id long, cuts array<int>, left int, right int, more_left boolean, more_right boolean, words binary"
 
 
-def _cut(reach: int):
-    """Words (32 bits of each one's hash) around and between the blocks of each chain that asks; texts come with their requests."""
+def _cut(reach: int, alone: int):
+    """Words (32 bits of each one's hash) around and between the blocks of each chain that asks; texts come with their requests. alone: how far for chains of negative number, of which what is `sure` has seen as much."""
 
     def go(batches):
         for whole in batches:
@@ -628,7 +632,8 @@ def _cut(reach: int):
                         cuts = [c for p, n in zip(q["at"], q["size"], strict=True) for c in (p, p + n)]
                         if cuts[-1] > b - a:
                             continue  # another text with the same key
-                        low, high = max(0, cuts[0] - reach), min(b - a, cuts[-1] + reach)
+                        far = reach if q["chain"] >= 0 else alone
+                        low, high = max(0, cuts[0] - far), min(b - a, cuts[-1] + far)
                         edge = [low, *cuts, high]
                         own = b"".join([raw[4 * (a + edge[i]) : 4 * (a + edge[i + 1])] for i in range(0, len(edge), 2)])
                         rows.append((q["chain"], q["side"], key, doc_id, cuts, cuts[0] - low, high - cuts[-1], low > 0, high < b - a, own))
@@ -725,23 +730,41 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         common = common.union(hot_common(rows))
     out = _passages(base, packed, CHAINED, least, identity)
     if not common.isEmpty():
-        more = _passages(base, _rest(base, common, out, names, least, identity), K, least, identity)
+        found = _rest(base, common, out, names, least, identity)
+        more = _passages(base, found.filter("part >= 0"), K, least, identity, found.filter("part < 0")).dropDuplicates()
         same = [F.col(f"m.{c}") == F.col(f"o.{c}") for c in ("key", "hub")]
-        over = (F.col("m.start_word") < F.col("o.end_word")) & (F.col("o.start_word") < F.col("m.end_word"))
-        out = out.union(more.alias("m").join(out.alias("o"), [*same, over], "left_anti"))
+        sides = (("start_word", "end_word"), ("other_start", "other_end"))
+        over = [F.col(f"{x}.{s}") < F.col(f"{y}.{e}") for s, e in sides for x, y in ("mo", "om")]
+        within = [c for s, e in sides for c in (F.col(f"o.{s}") <= F.col(f"m.{s}"), F.col(f"m.{e}") <= F.col(f"o.{e}"))]
+        longer = F.col("m.end_word") - F.col("m.start_word") + F.col("m.other_end") - F.col("m.other_start") < F.col("o.end_word") - F.col("o.start_word") + F.col("o.other_end") - F.col("o.other_start")
+        more = written(more, "more")
+        more = more.alias("m").join(more.alias("o"), [*same, *within, longer], "left_anti")  # of a chain and of one seed of it
+        out = out.union(more.alias("m").join(out.alias("o"), [*same, *over], "left_anti"))
     return out.drop("key", "hub")
 
 
 _CHAINS = "key long, hub long, x array<int>, y array<int>, size array<int>"
 
 
-def _passages(base: DataFrame, packed: DataFrame, chained_words: int, least: int, identity: float) -> DataFrame:
-    """Passages of the pairs that these links name."""
-    chained = packed.repartition(width(base.sparkSession), "part").mapInArrow(_chain(chained_words), _CHAINS).withColumn("chain", F.monotonically_increasing_id())
+def _alone(batches):
+    """Each link as a chain of its own, so that no other block stands in the way of what its ends are extended to."""
+    for batch in batches:
+        for keys, hubs, pos, hub_pos in zip(*(batch.column(c).to_pylist() for c in ("keys", "hubs", "pos", "hub_pos")), strict=True):
+            x, y = (np.frombuffer(c, np.int32)[:, None].tolist() for c in (pos, hub_pos))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(hubs, np.int64)), *(pa.array(c, pa.list_(pa.int32())) for c in (x, y, [[K]] * len(x)))], ["key", "hub", "x", "y", "size"])
+
+
+def _passages(base: DataFrame, packed: DataFrame, chained_words: int, least: int, identity: float, alone: DataFrame | None = None) -> DataFrame:
+    """Passages of the pairs that these links name; alone: links that aren't chained with others."""
+    chained = packed.repartition(width(base.sparkSession), "part").mapInArrow(_chain(chained_words), _CHAINS)
+    number = F.monotonically_increasing_id()
+    chained = chained.withColumn("chain", number)
+    if alone is not None:
+        chained = chained.union(alone.mapInArrow(_alone, _CHAINS).withColumn("chain", -1 - number))
     chained = written(chained, "chains")
     out, reach = None, REACH
     while True:
-        aligned = _aligned(base, chained, least, identity, reach)
+        aligned = _aligned(base, chained, least, identity, reach, max(reach, _wide(least, identity)))
         done = aligned.filter("NOT cut").drop("cut")
         out = done if out is None else out.union(done)
         again = aligned.filter("cut").select(F.col("start_word").alias("chain"))
@@ -889,6 +912,57 @@ def in_both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(axis=1)
 
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """Parity, at each of PARITIES places, of the words of each row, `counted`, that fall there: rows differ in as many words at least as these bits."""
+    row, col = np.nonzero(words)
+    place = mix(words[row, col]) & U64(PARITIES - 1)
+    odd = np.bincount(row * PARITIES + place.astype(np.int64), minlength=len(words) * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(words), PARITIES), axis=1).view(U64)
+
+
+def class_of(rows: np.ndarray) -> np.ndarray:
+    """A number for each class of holders of one seed: those with one label whose places lie within DRIFT."""
+    order = np.lexsort((rows["at"], rows["label"]))
+    label, at = rows["label"][order], rows["at"][order]
+    place, new = np.arange(len(rows)), np.ones(len(rows), bool)
+    new[1:] = label[1:] != label[:-1]
+    while True:
+        begin = np.maximum.accumulate(np.where(new, place, 0))
+        over = np.flatnonzero(at - at[begin] > DRIFT)
+        if not len(over):
+            break
+        new[over[np.unique(begin[over], return_index=True)[1]]] = True
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def around_seed(words: np.ndarray) -> tuple[list[int], list[int]]:
+    """Words of a holder on the left and on the right, nearest first, as far as the text goes."""
+    return tuple(side[: int((side > 0).sum())].tolist() for side in np.split(words, 2))
+
+
+def in_place(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+    """Most words of a seed and of `reach` words around it that match at the same distance from the seed, for each row of a and of b."""
+    wide = a.shape[1] // 2
+    left, right = (np.zeros((len(a), reach + 1), np.int16) for _ in range(2))
+    for out, at in ((left, 0), (right, wide)):
+        p = a[:, at : at + reach]
+        np.cumsum((p == b[:, at : at + reach]) & (p > 0), axis=1, dtype=np.int16, out=out[:, 1:])
+    return K + (left[:, ::-1] + right).max(axis=1, initial=0)
+
+
+def sure(a: tuple, b: tuple, least: int, identity: float) -> bool:
+    """Whether the words around a seed, extended as `passages` does, hold a passage even if two of the matching words should differ beyond their 16 bits."""
+    for whole in (False, True):
+        e_a, e_b, right = extend(a[1], b[1], *(K, K) if whole else ())
+        have, span = K + right, K + max(e_a, e_b)
+        s_a, s_b, left = extend(a[0], b[0], *(have, span) if whole else ())
+        if have + left >= least:
+            return have + left - 2 >= max(least, identity * max(e_a + K + s_a, e_b + K + s_b))
+    return False
+
+
 def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Most words that the first 0, 1, 2, ... of each row of b match in order in the same row of a, by bits of 64 words at once."""
     n, size = a.shape
@@ -911,18 +985,28 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def possible(left: tuple, right: tuple, least: int, identity: float) -> np.ndarray:
-    """Whether a passage over the seed of each pair of holders can be: some words on both sides, together with the seed, have `least` matches in order and are alike; or at least OPEN of them match up to where sight ends and a text goes on. left, right: words of both, nearest first."""
+def _room(left: tuple, right: tuple, least: int, identity: float) -> tuple[np.ndarray, np.ndarray]:
+    """What `possible` asks of the words of the second of each pair of holders, whatever part of the first they match: that enough of them do, and that a passage can go on beyond."""
     wide = left[0].shape[1]
     words = np.arange(2 * wide + 1) + K
     need = np.maximum(least, np.ceil(identity * words - 1e-9)).astype(np.int16) - K
     far = np.ceil(OPEN * words).astype(np.int16)[wide:] - K
     a, b = in_order(*left), in_order(*right)
-    out = np.zeros(len(a), bool)
+    enough, beyond = np.zeros(len(a), bool), np.zeros(len(a), bool)
     for p in range(wide + 1):
-        out |= (a[:, p, None] + b >= need[p : p + wide + 1]).any(axis=1)
+        enough |= (a[:, p, None] + b >= need[p : p + wide + 1]).any(axis=1)
     for near, over, (x, y) in ((a, b, right), (b, a, left)):
-        out |= ((x[:, -1] > 0) | (y[:, -1] > 0)) & (near + over[:, -1:] >= far).any(axis=1)
+        beyond |= ((x[:, -1] > 0) | (y[:, -1] > 0)) & (near + over[:, -1:] >= far).any(axis=1)
+    return enough, beyond
+
+
+def possible(left: tuple, right: tuple, least: int, identity: float) -> np.ndarray:
+    """Whether a passage over the seed of each pair of holders can be: some words on both sides, together with the seed, have `least` matches in order and are alike, in either text; or at least OPEN of them match up to where sight ends and a text goes on. left, right: words of both, nearest first."""
+    enough, out = _room(left, right, least, identity)
+    again = np.flatnonzero(enough & ~out)
+    if len(again):
+        enough, beyond = _room(*((b[again], a[again]) for a, b in (left, right)), least, identity)
+        out[again] = enough | beyond
     return out
 
 
@@ -1023,10 +1107,15 @@ def _blocks(base: DataFrame, places: DataFrame, sight: int, wide: int) -> DataFr
     return held.mapInArrow(deal, "seed long, nth int, a binary, b binary").repartition(width(spark), "seed", "nth")
 
 
+def _wide(least: int, identity: float) -> int:
+    """Words on each side of a seed by which pairs of holders are held against each other."""
+    return -(-2 * int(least / identity + 1e-9) // 64) * 64
+
+
 def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int], least: int, identity: float) -> DataFrame:
-    """Links between holders of common seeds (seed, key, pos) that passages found so far don't join, and that neither digests nor the words on both sides rule out."""
+    """Links between holders of common seeds (seed, key, pos) that passages found so far don't join, and that neither digests nor the words on both sides rule out; those of part -1 surely hold a passage each, and stand for all pairs of the classes that they join."""
     half, longest = (least - K) // 2, int(least / identity + 1e-9)
-    sight, wide = half + longest - least, -(-2 * longest // 64) * 64
+    sight, wide = half + longest - least, _wide(least, identity)
 
     def pairs(batches, wide):
         kind = _holder(wide)
@@ -1046,52 +1135,88 @@ def _rest(base: DataFrame, common: DataFrame, out: DataFrame, names: list[int],
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["key"])), pa.array([z.tobytes() for z in rows], pa.binary())], ["key", "place"])
 
-    def roomy(x, y, found):
-        """u, v of found that leave room for a passage."""
-        sides = slice(0, wide), slice(wide, 2 * wide)
-        once = [(counted(x["words"][:, s]), counted(y["words"][:, s])) for s in sides]
-        held, count = [], 0
-
-        def tell():
-            u, v = (np.concatenate(c) for c in zip(*held, strict=True))
-            for i in range(0, len(u), 512):
-                p, q = u[i : i + 512], v[i : i + 512]
-                good = possible(*((x["words"][p, s], y["words"][q, s]) for s in sides), least, identity)
-                yield p[good], q[good]
-
+    sides, reach = (slice(0, wide), slice(wide, 2 * wide)), longest - K
+
+    def joined(x, y, found):
+        """Of found, by the words in sight that both have in common: pairs that surely hold a passage, each of which joins two classes, and the others of classes that are not joined."""
+        both = (x,) if y is x else (x, y)
+        once = [[counted(z["words"][:, s]) for s in sides] for z in both]
+        bits = [np.concatenate([parities(c) for c in z], axis=1) for z in once]
+        size = [sum((c > 0).sum(axis=1) for c in z) for z in once]
+        of = class_of(np.concatenate([z[["label", "at"]] for z in both]))
+        of, root, around = (of[: len(x)], of[-len(y) :]), np.arange(len(of)), ({}, {})
+        sure_, open_ = [], []
         for us, vs in found:
-            for i in range(0, len(us), 4096):
-                u, v = us[i : i + 4096], vs[i : i + 4096]
-                may = K + sum(in_both(a[u], b[v]) for a, b in once) >= least
-                held.append((u[may], v[may]))
-                count += int(may.sum())
-                if count >= 4096:
-                    yield from tell()
-                    held, count = [], 0
-        if count:
-            yield from tell()
+            for i in range(0, len(us), 1024):
+                u, v = us[i : i + 1024], vs[i : i + 1024]
+                may = root[of[0][u]] != root[of[1][v]]
+                u, v = u[may], v[may]
+                common = K + (size[0][u] + size[-1][v] - np.bitwise_count(bits[0][u] ^ bits[-1][v]).sum(axis=1, dtype=np.int64)) // 2
+                close = np.flatnonzero((common >= least) & (common < least + 6))  # as many words may be one bit
+                common[close] = K + sum(in_both(a[u[close]], b[v[close]]) for a, b in zip(once[0], once[-1], strict=True))
+                u, v = u[common >= least], v[common >= least]
+                may = in_place(x["words"][u], y["words"][v], reach) >= least
+                open_ += zip(u[~may].tolist(), v[~may].tolist(), strict=True)
+                for p, q in zip(u[may].tolist(), v[may].tolist(), strict=True):
+                    s, t = root[of[0][p]], root[of[1][q]]
+                    if s == t:
+                        continue
+                    for z, w, have in ((x, p, around[0]), (y, q, around[1])):
+                        if w not in have:
+                            have[w] = around_seed(z["words"][w])
+                    if sure(around[0][p], around[1][q], least, identity):
+                        root[root == t] = s
+                        sure_.append((p, q))
+                    else:
+                        open_.append((p, q))
+        sure_, open_ = (np.array(c, np.int64).reshape(-1, 2).T for c in (sure_, open_))
+        return sure_, open_[:, root[of[0][open_[0]]] != root[of[1][open_[1]]]]
+
+    def linked(x, y, u, v):
+        """key, hub, pos, hub_pos of pairs of holders."""
+        p, q = ([z[c][w] for c in ("key", "pos")] for z, w in ((x, u), (y, v)))
+        swap = p[0] < q[0]
+        (k, at), (hub, hub_at) = ([np.where(swap, t, s) for s, t in zip(e, f, strict=True)] for e, f in ((p, q), (q, p)))
+        return k, hub, at.astype(np.int32), hub_at.astype(np.int32)
+
+    def roomy(held):
+        """Links that leave room for a passage by the words around both seeds, which stand behind them."""
+        *link, p, q = (np.concatenate(c) for c in zip(*held, strict=True))
+        good = np.concatenate([possible(*((p[i : i + 512, s], q[i : i + 512, s]) for s in sides), least, identity) for i in range(0, len(p), 512)])
+        return tuple(c[good] for c in link)
 
     def meet(batches):
-        links_, count = [], 0
+        alone, links_, count, held, open_ = [], [], 0, [], 0  # pairs of many seeds go through `possible` together
         for x, y, found in pairs(batches, wide):
-            for u, v in roomy(x, y, found):
-                p, q = ([z[c][w] for c in ("key", "pos")] for z, w in ((x, u), (y, v)))
-                swap = p[0] < q[0]
-                (k, at), (hub, hub_at) = ([np.where(swap, t, s) for s, t in zip(e, f, strict=True)] for e, f in ((p, q), (q, p)))
-                links_.append((k, hub, at.astype(np.int32), hub_at.astype(np.int32)))
-                count += len(u)
+            certain, rest = joined(x, y, found)
+            alone.append(linked(x, y, *certain))
+            for i in range(0, rest.shape[1], 4096):
+                u, v = rest[:, i : i + 4096]
+                held.append((*linked(x, y, u, v), x["words"][u], y["words"][v]))
+                open_ += len(u)
+                if open_ >= 4096:
+                    links_.append(roomy(held))
+                    count += len(links_[-1][0])
+                    held, open_ = [], 0
             if count >= 1 << 20:
                 yield from _packets(*(np.concatenate(c) for c in zip(*links_, strict=True)), names)
                 links_, count = [], 0
+        if held:
+            links_.append(roomy(held))
         if links_:
             yield from _packets(*(np.concatenate(c) for c in zip(*links_, strict=True)), names)
+        if alone:
+            key, hub, pos, hub_pos = (np.concatenate(c) for c in zip(*alone, strict=True))
+            for i in range(0, len(key), 1 << 14):
+                row = {"keys": key, "hubs": hub, "pos": pos, "hub_pos": hub_pos}
+                yield pa.RecordBatch.from_arrays([pa.array([-1 if f.name == "part" else row[f.name][i : i + (1 << 14)].tobytes() if f.name in row else b""], f.type) for f in _LINKS], schema=_LINKS)
 
     places = _places(base, common, out, names)
     left = written(_blocks(base, places, sight, 0).mapInArrow(near, "key long, place binary").distinct(), "near")
-    return _blocks(base, left, sight, wide).mapInArrow(meet, _LINKS_SQL)
+    return written(_blocks(base, left, sight, wide).mapInArrow(meet, _LINKS_SQL), "links")
 
 
-def _aligned(base: DataFrame, chained: DataFrame, least: int, identity: float, reach: int) -> DataFrame:
+def _aligned(base: DataFrame, chained: DataFrame, least: int, identity: float, reach: int, alone: int) -> DataFrame:
     """Passages of chains, `reach` words on both sides in sight; those that go on to the edge of sight are marked cut, with the chain for start_word."""
     spark = base.sparkSession
     ask = lambda side, key, at: chained.select(F.col(key).alias("key"), F.struct(F.col("chain"), F.lit(side).alias("side"), F.col(at).alias("at"), "size").alias("ask"))
@@ -1105,7 +1230,7 @@ def _aligned(base: DataFrame, chained: DataFrame, least: int, identity: float, r
             yield batch.filter(pa.array(holds(sent.value, np.asarray(batch.column("key")))))
 
     named = base.mapInArrow(asked, "key long, doc_id long, text string").withColumn("other", F.xxhash64(F.lit(1), "text")).dropDuplicates(["key", "doc_id", "other"])
-    sides = named.join(asks, "key").select("key", "doc_id", "text", "asks").mapInArrow(_cut(reach), _SIDE_SQL)
+    sides = named.join(asks, "key").select("key", "doc_id", "text", "asks").mapInArrow(_cut(reach, alone), _SIDE_SQL)
     met = sides.repartition(width(spark), "chain").sortWithinPartitions("chain", "side")
     return written(met.mapInArrow(_align(least, identity), _PASSAGES), "passages")
 

@@ -460,3 +460,50 @@ def test_words_in_sight_rule_out_no_passage():
             y[0, :n] = x[0, :n]
             y[0, [k - first for k in out if first <= k < first + n]] = 65000
         assert substring_dedup.possible(*sides, 50, 0.8).all()
+
+
+def test_room_for_a_passage_is_asked_of_both_texts():
+    """44 words beside a seed match in order, one after the other in one text but strewn over 128 words of the other: 50 of 134 are no passage."""
+    one = np.arange(1, 129, dtype=np.uint16)[None]
+    two = np.zeros((1, 128), np.uint16)
+    two[0, :44] = one[0, np.linspace(0, 127, 44).astype(int)]
+    none = np.zeros((1, 128), np.uint16)
+    for a, b in ((one, two), (two, one)):
+        assert not substring_dedup.possible((none, none), (a, b), 50, 0.8)[0]
+        assert not substring_dedup.possible((a, b), (none, none), 50, 0.8)[0]
+
+
+def test_parities_and_words_in_place_are_bounds():
+    rng = np.random.default_rng(53)
+    one, two = (substring_dedup.counted(rng.integers(1, 60, (50, 128)).astype(np.uint16)) for _ in range(2))
+    apart = np.bitwise_count(substring_dedup.parities(one) ^ substring_dedup.parities(two)).sum(axis=1)
+    assert all(128 - d / 2 >= len(set(a.tolist()) & set(b.tolist())) for d, a, b in zip(apart.tolist(), one, two, strict=True))
+    a = rng.integers(1, 60000, (1, 256)).astype(np.uint16)
+    b = a.copy()
+    b[0, [3, 130]] = 60001
+    assert substring_dedup.in_place(a, b, 20).tolist() == [25]
+    around = substring_dedup.around_seed
+    assert substring_dedup.sure(around(a[0]), around(b[0]), 50, 0.8)
+    b[0, 4:128], b[0, 150:] = 60002, 60003
+    assert not substring_dedup.sure(around(a[0]), around(b[0]), 50, 0.8)
+
+
+def test_pairs_of_joined_classes_are_not_all_looked_at(spark, monkeypatch):
+    """40 texts share an edited passage over a phrase that 200 other texts hold: all are joined, without a row for each of the 780 pairs."""
+    rng = np.random.default_rng(54)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    phrase, passage = fresh(12), fresh(60)
+    rows = [fresh(20) + phrase + fresh(20) for _ in range(200)]
+    for k in range(40):
+        words = list(passage)
+        for at in rng.choice(np.arange(1, 59), 2, replace=False):
+            words[at] = f"edit{k}x{at}"
+        rows.append(fresh(20) + phrase + words + fresh(20))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {frozenset((r.doc_id, r.other_id)) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got and all(min(p) >= 200 for p in got) and len(got) < 500
+    one = {i: i for i in range(200, 240)}
+    for _ in range(40):
+        for a, b in map(sorted, got):
+            one[a] = one[b] = min(one[a], one[b])
+    assert set(one.values()) == {200}
